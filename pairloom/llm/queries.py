@@ -7,14 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontaminate import contained_items
 from .minmax_dedup import near_groups
+from .token_files import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Where the public tokenizers' files are; every executor has them at the same place.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+
+
+def op8_contained_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
+
+
+OP8_SQL = r"""
+WITH words AS (
+    SELECT doc_id, NULL AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    UNION ALL
+    SELECT NULL, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
+), shingles AS (
+    SELECT DISTINCT doc_id, item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) >= 5
+), items AS (
+    SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS n_item FROM shingles WHERE item_id IS NOT NULL
+)
+SELECT d.doc_id, i.item_id, i.n_item, count(*) AS n_shared
+FROM shingles d JOIN items i ON d.s = i.s AND d.doc_id IS NOT NULL
+GROUP BY d.doc_id, i.item_id, i.n_item HAVING count(*) * 100 >= i.n_item * 80
+"""
+
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), k=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_minmax_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op8_contained_benchmarks, op9_minmax_near_dedup)}
+ORACLES: dict[str, str] = {"op8_contained_benchmarks": OP8_SQL}
