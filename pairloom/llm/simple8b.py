@@ -22,11 +22,18 @@ def _choose(ids: np.ndarray) -> np.ndarray:
     the fullest, whose next ids all fit and lie in the same block."""
     n = len(ids)
     chosen = np.full(n, ESCAPE, np.uint8)
-    left = BLOCK - np.arange(n) % BLOCK
+    left = (BLOCK - np.arange(n, dtype=np.int32) % BLOCK).astype(np.int32)
     left[n - n % BLOCK :] = np.arange(n % BLOCK, 0, -1)
+    top = int(ids.max()) if n else 0
     for s in range(len(COUNTS) - 1, -1, -1):
-        count, fits = COUNTS[s], ids < np.uint64(1 << WIDTHS[s])
-        if count > n or np.count_nonzero(fits) < count:
+        count = COUNTS[s]
+        if count > n:
+            continue
+        if top < 1 << WIDTHS[s]:
+            chosen[left >= count] = s
+            continue
+        fits = ids < (1 << WIDTHS[s])
+        if np.count_nonzero(fits) < count:
             continue
         bad = np.concatenate(([0], np.cumsum(~fits, dtype=np.int32)))
         ok = np.flatnonzero((bad[count:] == bad[: n - count + 1]) & (left[: n - count + 1] >= count))
@@ -36,11 +43,11 @@ def _choose(ids: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) for ids of any unsigned 64-bit size."""
-    ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.empty(0, "<u8"), np.empty(0, np.int32)
     chosen = _choose(ids)
+    ids = np.ascontiguousarray(ids, np.uint64)
     steps = np.array((*COUNTS, 1, 1), np.uint8)[chosen].tolist()
     starts, at = [], 0
     while at < n:

@@ -40,9 +40,9 @@ def _runs(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Ite
         return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds)], names=["part", "run", "before", "doc_ids", "lengths", "first_words", "words"])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, ids in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist())):
             docs.append(doc)
-            blobs.append(own.encode(text) + end)
+            blobs.append(ids + end)
             held += len(blobs[-1]) // 4
             if held >= RUN_IDS:
                 yield flush()
