@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .decontaminate import contained_items
 from .minmax_dedup import near_groups
+from .packing import pack
+from .quality import judged
+from .sentence_dedup import repeated_sentences
 from .token_files import round_trip
+from .url_filter import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +26,18 @@ def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(documents(spark, sf_dir))
+
+
+def op5_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", capacity=1024, end_id=0)
+
+
+def op6_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_contained_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
 
@@ -45,5 +62,11 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), k=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op8_contained_benchmarks, op9_minmax_near_dedup)}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of repeated_sentences: the kept text as its hash."""
+    found = repeated_sentences(documents(spark, sf_dir), width=3)
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op4_weak_supervision, op5_cutting_stock_packing, op6_url_language_models, op8_contained_benchmarks, op9_minmax_near_dedup, op10_sentence_spans)}
 ORACLES: dict[str, str] = {"op8_contained_benchmarks": OP8_SQL}
