@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import narrow, save
 
 _SPACE = r"[\x20\x09-\x0D]+"
+#: Most votes against that a rule is presumed to cast on good documents.
+FALSE_ALARMS = 0.005
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -52,6 +54,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaim"),
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         # only texts with a repeated window go on
@@ -59,7 +62,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     hit = _hits(F.col("placed"))
     union = F.aggregate(hit, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(union, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_exclaim", "n_distinct")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(union, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_letters", "n_exclaim", "n_distinct")
 
 
 def votes() -> dict[str, Column]:
@@ -76,6 +79,7 @@ def votes() -> dict[str, Column]:
         "distinct_lines": vote((c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") * 100 > 30 * c("n_lines")),
         "word_length": vote(c("word_chars").between(4 * n, 7 * n), ~c("word_chars").between(3 * n, 10 * n)),
         "lower_case": vote(c("n_upper") * 100 <= 10 * c("word_chars"), c("n_upper") * 100 > 25 * c("word_chars")),
+        "mostly_letters": vote(c("n_letters") * 100 >= 96 * c("word_chars"), c("n_letters") * 100 < 89 * c("word_chars")),
         "calm": vote(c("n_exclaim") * 100 <= 5 * n, c("n_exclaim") * 100 > 25 * n),
         "rich_words": vote(c("n_distinct") * 100 >= 45 * n, (n >= 50) & (c("n_distinct") * 100 < 15 * n)),
     }
@@ -84,7 +88,10 @@ def votes() -> dict[str, Column]:
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """(prior of good, by rule and vote its probability on good and on bad documents) by
     expectation-maximisation over counted vote patterns.  It starts from the belief that
-    a document with a vote against is probably bad; Laplace smoothing bounds all odds."""
+    a document with a vote against is probably bad, and holds each rule to at most
+    FALSE_ALARMS votes against good documents: bad documents are of several kinds that
+    few rules see, and without this bound a kind that one rule sees would count as good.
+    Laplace smoothing bounds all odds."""
     if not patterns:
         return 0.5, []
     k = len(patterns[0][0])
@@ -101,6 +108,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
                 yes = sum(g * n for g, (p, n) in zip(good, patterns) if p[r] == v)
                 no = sum((1 - g) * n for g, (p, n) in zip(good, patterns) if p[r] == v)
                 table[v] = ((yes + 1) / (mass + 3), (no + 1) / (total - mass + 3))
+            if table[-1][0] > FALSE_ALARMS:  # a rule may not explain its votes against by good documents
+                spare = (1 - FALSE_ALARMS) / (1 - table[-1][0])
+                table = {v: (FALSE_ALARMS if v < 0 else a * spare, b) for v, (a, b) in table.items()}
             tables.append(table)
         new = []
         for p, _ in patterns:
