@@ -12,6 +12,7 @@ from .decontaminate import contained_items
 from .minmax_dedup import near_groups
 from .packing import pack
 from .quality import judged
+from .secret_scan import digest, scan
 from .sentence_dedup import repeated_sentences
 from .token_files import round_trip
 from .url_filter import judge
@@ -38,6 +39,10 @@ def op6_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan(documents(spark, sf_dir)))
+
+
 def op8_contained_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
 
@@ -68,5 +73,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op4_weak_supervision, op5_cutting_stock_packing, op6_url_language_models, op8_contained_benchmarks, op9_minmax_near_dedup, op10_sentence_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op4_weak_supervision, op5_cutting_stock_packing, op6_url_language_models, op7_random_secrets, op8_contained_benchmarks, op9_minmax_near_dedup, op10_sentence_spans)}
 ORACLES: dict[str, str] = {"op8_contained_benchmarks": OP8_SQL}
