@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import judged
 from .secret_scan import digest, scan
 from .sentence_dedup import repeated_sentences
+from .substring_dedup import repeated_bytes
 from .token_files import round_trip
 from .url_filter import judge
 
@@ -27,6 +28,10 @@ def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(documents(spark, sf_dir), width=200)
+
+
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir))
 
@@ -73,5 +78,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op4_weak_supervision, op5_cutting_stock_packing, op6_url_language_models, op7_random_secrets, op8_contained_benchmarks, op9_minmax_near_dedup, op10_sentence_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op2_repeated_strings, op4_weak_supervision, op5_cutting_stock_packing, op6_url_language_models, op7_random_secrets, op8_contained_benchmarks, op9_minmax_near_dedup, op10_sentence_spans)}
 ORACLES: dict[str, str] = {"op8_contained_benchmarks": OP8_SQL}

@@ -61,4 +61,4 @@ def test_battery_tells_random_from_regular(spark):
 def test_threshold_controls_false_discoveries():
     assert threshold([10] * 20) == 0
     assert threshold([1000, 500] + [10] * 18) == 2
-    assert threshold([5] + [0] * 19) == 10
+    assert threshold([5] + [0] * 19) == 1
