@@ -3,15 +3,12 @@
 Every permutation gives two signature values, the minimum and the maximum, so
 128 values cost 64 hash evaluations a shingle.  Each band joins both values of two
 permutations.  Documents of one shingle set are one class; classes that share a
-band are compared on their full sets.  First each class meets the smallest class
-of its buckets and then a few others, which links almost every group; only classes
-that share a bucket but are still in different components are then compared, block
-by block.
+band are compared on their full sets, as buckets.py describes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import link
 from .common import components, narrow, save, small
-from .shingles import shared, shingle_set
+from .shingles import shingle_set
 
 PERMUTATIONS, BANDS = 64, 32
 
@@ -73,103 +71,25 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([shingle_set(x, k).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+        yield pa.record_batch([batch.column(0), pa.array([shingle_set(x, k).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "blob"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hit = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                hit.append(False)
-                continue
-            both = shared(x, y)
-            hit.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the saved pairs (a, b) whose full shingle sets are alike enough.
-    docs has doc_id and text.  A set is computed once a document and side."""
-
-    def sets(ids: DataFrame) -> DataFrame:
-        return docs.join(small(save(ids.distinct().toDF("doc_id"), "ids")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda b: _sets(b, k), "doc_id long, shingles binary")
-
-    right = sets(pairs.select("b")).toDF("b", "right").join(small(pairs), "b")
-    left = sets(pairs.select("a")).toDF("a", "left")
-    both = right.join(left, "a").select("a", "b", "left", "right")
-    return save(both.mapInArrow(lambda b: _linked(b, percent), "a long, b long"), "links")
-
-
-def _unsettled(met: DataFrame, links: DataFrame) -> DataFrame:
-    """The saved rows (key, rep, part) of buckets that meet more than one part,
-    part being the component under the links so far."""
-    found = components(links).select(F.col("id").alias("rep"), "component")
-    named = save(met.select("key", "rep").join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "named")
-    split = save(named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key"), "split")
-    return save(named.join(split, "key"), "rest")
-
-
-def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between queries and targets of other parts, task by task; rows come
-    sorted by task."""
-
-    def task(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        a, b = [], []
-        targets = [r for r in rows if not r[1]]
-        sizes = np.array([len(r[4]) // 8 for r in targets])
-        part = np.array([r[3] for r in targets])
-        values = np.frombuffer(b"".join(r[4] for r in targets), np.uint64)
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], np.repeat(np.arange(len(targets)), sizes)[order]
-        for _, query, rep, own, blob in rows:
-            if query and len(targets):
-                mine = np.frombuffer(blob, np.uint64)
-                lo, hi = np.searchsorted(values, mine), np.searchsorted(values, mine, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(targets))
-                for i in np.flatnonzero((100 * both >= percent * (len(mine) + sizes - both)) & (part != own)):
-                    a.append(min(rep, targets[i][2]))
-                    b.append(max(rep, targets[i][2]))
-        return a, b
-
-    held: list[tuple] = []
-    for batch in batches:
-        a, b = [], []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if held and held[0][0] != row[0]:
-                x, y = task(held)
-                a += x
-                b += y
-                held = []
-            held.append(row)
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-    if held:
-        x, y = task(held)
-        yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-
-
-def _across(docs: DataFrame, rest: DataFrame, k: int, percent: int, block: int = 128) -> DataFrame:
-    """Links between members of different parts of a bucket.  Members outside the
-    bucket's largest part are its queries, all members its targets; blocks of
-    queries meet blocks of targets, so a task holds about 2 * block sets and a
-    large linked group costs rows in proportion to its size."""
-    parts = rest.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
-    parts = save(parts.agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("minor")), "parts")
-    rows = rest.join(parts, "key")
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    mine = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    queries = rows.where("part <> major").select("key", mine("minor").alias("q"), all_of("size").alias("t"), F.lit(True).alias("query"), "rep", "part")
-    targets = rows.select("key", all_of("minor").alias("q"), mine("size").alias("t"), F.lit(False).alias("query"), "rep", "part")
-    task = F.concat_ws(" ", "key", "q", "t").alias("task")
-    ids = small(save(rest.select(F.col("rep").alias("doc_id")).distinct(), "ids"))
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda b: _sets(b, k), "rep long, shingles binary")
-    dealt = queries.union(targets).select(task, "query", "rep", "part").join(sets, "rep")
-    dealt = dealt.select("task", "query", "rep", "part", "shingles").repartition("task").sortWithinPartitions("task")
-    return save(dealt.mapInArrow(lambda b: _compared(b, percent), "a long, b long").distinct(), "links")
+def _alike(targets: list[bytes], percent: int) -> Callable[[bytes], list[int]]:
+    """Positions of the target sets that are alike enough, by one index over all of them."""
+    sizes = np.array([len(t) // 8 for t in targets])
+    values = np.frombuffer(b"".join(targets), np.uint64)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(targets)), sizes)[order]
+
+    def of(query: bytes) -> list[int]:
+        mine = np.frombuffer(query, np.uint64)
+        lo, hi = np.searchsorted(values, mine), np.searchsorted(values, mine, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(targets))
+        return np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both)).tolist()
+
+    return of
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -196,20 +116,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     own = usable.join(small(save(same.select("b").distinct().toDF("doc_id"), "copies")), "doc_id", "left_anti")
     banded = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    buckets = save(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead"), "buckets")
+    buckets = save(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key"), "buckets")
     met = save(banded.join(buckets, "key"), "met")
-    first = save(met.groupBy("rep").agg(F.min("lead").alias("lead")).where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")), "first")
-    links = confirm(docs, first, k, percent)
-
-    for turn in (1, 2):
-        rest = _unsettled(met, links)
-        lead = F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead")
-        lead_part = F.min_by("part", F.xxhash64("rep", F.lit(turn))).alias("lead_part")
-        leads = save(rest.groupBy("key").agg(lead, lead_part), "leads")
-        star = rest.join(leads, "key").where("part <> lead_part").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-        links = links.union(confirm(docs, save(star.distinct(), "star"), k, percent))
-    links = links.union(_across(docs, _unsettled(met, links), k, percent))
 
+    def fetch(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(lambda b: _sets(b, k), "id long, blob binary")
+
+    links = link(met, fetch, lambda targets: _alike(targets, percent))
     grouped = components(links.union(same))
     out = sig.select("doc_id", "n_shingles").join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
