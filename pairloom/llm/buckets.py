@@ -104,9 +104,12 @@ def link(met: DataFrame, fetch: Fetch, prepare: Prepare, turns: int = 2) -> Data
     links = confirm(fetch, save(first.select(F.col("lead").alias("a"), F.col("rep").alias("b")), "first"), prepare)
     for turn in range(1, turns + 1):
         rest = _unsettled(met, links)
+        if rest.isEmpty():
+            return links
         lead = F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead")
         lead_part = F.min_by("part", F.xxhash64("rep", F.lit(turn))).alias("lead_part")
         leads = save(rest.groupBy("key").agg(lead, lead_part), "leads")
         star = rest.join(leads, "key").where("part <> lead_part").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
         links = links.union(confirm(fetch, save(star.distinct(), "star"), prepare))
-    return links.union(_across(fetch, _unsettled(met, links), prepare))
+    rest = _unsettled(met, links)
+    return links if rest.isEmpty() else links.union(_across(fetch, rest, prepare))

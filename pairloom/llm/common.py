@@ -40,9 +40,11 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def narrow(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns under fixed names, whatever else df has."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+def narrow(df: DataFrame, carry: tuple[str, ...] = (), **columns: str) -> DataFrame:
+    """The named columns under fixed names, whatever else df has, and those to carry
+    along as fields of one struct, carried."""
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()], *carried)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -176,16 +176,20 @@ def _cut(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBa
             n.append(len(lines))
             removed.append(0 if copy else len(drop))
             kept.append(text if copy or not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
-        yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip((n, removed, [len(g or ()) for g in batch.column(2).to_pylist()], whole, kept), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())))], names=["row", "n_lines", "n_removed", "n_repeated", "mostly_repeated", "kept_text"])
+        repeated = [len(g or ()) for g in batch.column(2).to_pylist()]
+        columns = [pa.array(c, k) for c, k in zip((n, removed, repeated, whole, kept), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))]
+        names = ["doc_id", "n_lines", "n_removed", "n_repeated", "mostly_repeated", "kept_text", "carried"]
+        columns = [batch.column(0), *columns, *batch.columns[3:]]
+        yield pa.record_batch(columns, names=names[: len(columns)])
 
 
 def _same(x: str, y: str):
     return F.col(x).eqNullSafe(F.col(y))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, most: float = 0.5) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, most: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, n_repeated,
-    mostly_repeated, kept_text.
+    mostly_repeated, kept_text and, if columns are to be carried along, their struct carried.
 
     Lines are what \\n separates.  Those of at least min_chars characters (at least
     edits + 1) that are equal or within `edits` edits are linked, and links are
@@ -197,7 +201,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one result; a null doc_id comes first; an empty table gives no rows; other columns are
     ignored.  Distinct lines are told apart by 64-bit hashes.  No bucket is capped.
     """
-    docs = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+    more = ["carried"] * bool(carry)
+    docs = narrow(docs, carry, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text", *more)
     texts, least = docs.select("text"), max(min_chars, edits + 1)
     lines = save(docs.mapInArrow(lambda b: _lines(b, least), "doc_id long, own long, no int, line long"), "lines")
 
@@ -222,6 +227,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = gone.groupBy("doc_id", "own").agg(F.collect_set("no").alias("gone"))
     gone = save(gone.withColumnRenamed("doc_id", "of").withColumnRenamed("own", "of_own"), "gone")
     owners = small(save(gone.select(F.col("of_own").alias("own")).distinct(), "owners"))
-    touched = docs.join(owners, "own", "left_semi").join(gone, _same("doc_id", "of") & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "gone")
-    clean = docs.join(owners, "own", "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"))
-    return touched.union(clean).mapInArrow(lambda b: _cut(b, most), "doc_id long, n_lines long, n_removed long, n_repeated long, mostly_repeated boolean, kept_text string")
+    touched = docs.join(owners, "own", "left_semi").join(gone, _same("doc_id", "of") & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "gone", *more)
+    clean = docs.join(owners, "own", "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"), *more)
+    schema = "doc_id long, n_lines long, n_removed long, n_repeated long, mostly_repeated boolean, kept_text string"
+    if carry:
+        schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
+    return touched.union(clean).mapInArrow(lambda b: _cut(b, most), schema)

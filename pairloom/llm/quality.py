@@ -42,13 +42,14 @@ def _hits(placed: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts the rules use, for rows doc_id, text."""
+    """doc_id, carried if docs has it, and the counts the rules use, for rows doc_id, text."""
     text, w = F.coalesce("text", F.lit("")), F.col("w")
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words(F.col("text")).alias("w"))
+    own = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*own, text.alias("text")).select(*own, "text", words(F.col("text")).alias("w"))
     rows = rows.withColumn("t", _windows(w))
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
-        "doc_id",
+        *own,
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -62,7 +63,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     hit = _hits(F.col("placed"))
     union = F.aggregate(hit, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n")), lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(union, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_letters", "n_exclaim", "n_distinct")
+    return rows.select(*own, "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(union, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_letters", "n_exclaim", "n_distinct")
 
 
 def votes() -> dict[str, Column]:
@@ -123,16 +124,17 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
     return prior, tables
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, quality (the posterior).
+    n_repeat_words, base_failed, kept, quality (the posterior) and, if columns are to be
+    carried along, their struct carried.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows.
     kept: not base_failed, and quality at least the threshold.  Null, empty and blank
     texts have no words and fail.  Every row counts once in the estimates, copies too; a
     null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
-    stats = save(statistics(narrow(docs, doc_id=id_col, text=text_col)), "statistics")
+    stats = save(statistics(narrow(docs, carry, doc_id=id_col, text=text_col)), "statistics")
     rules = votes()
     named = stats.select("*", *[v.alias(f"vote_{r}") for r, v in rules.items()])
     columns = [f"vote_{r}" for r in rules]
@@ -144,4 +146,4 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         odds = odds + F.when(F.col(column) == 1, weight[1]).when(F.col(column) == -1, weight[-1]).otherwise(weight[0])
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     quality = 1 / (1 + F.exp(-odds))
-    return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"), F.round(quality, 6).alias("quality"))
+    return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"), F.round(quality, 6).alias("quality"), *["carried"] * bool(carry))

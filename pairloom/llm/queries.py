@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .decontaminate import contained_items
+from .line_dedup import deduplicated
 from .minmax_dedup import near_groups
 from .packing import pack
 from .quality import judged
@@ -32,6 +33,12 @@ def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(documents(spark, sf_dir), width=200)
 
 
+def op3_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of deduplicated: the kept text as its hash."""
+    found = deduplicated(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", "n_repeated", "mostly_repeated", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir))
 
@@ -78,5 +85,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op2_repeated_strings, op4_weak_supervision, op5_cutting_stock_packing, op6_url_language_models, op7_random_secrets, op8_contained_benchmarks, op9_minmax_near_dedup, op10_sentence_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simple8b_tokens, op2_repeated_strings, op3_line_edits, op4_weak_supervision, op5_cutting_stock_packing, op6_url_language_models, op7_random_secrets, op8_contained_benchmarks, op9_minmax_near_dedup, op10_sentence_spans)}
 ORACLES: dict[str, str] = {"op8_contained_benchmarks": OP8_SQL}
