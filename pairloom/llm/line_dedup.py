@@ -154,12 +154,21 @@ def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "blob"])
 
 
+def _counts(line: str) -> np.ndarray:
+    """How often each of 32 classes of characters occurs; an edit moves two counts at most."""
+    return np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 31, minlength=32).astype(np.int32)
+
+
 def _near(targets: list[bytes], edits: int) -> Callable[[bytes], list[int]]:
     lines = [t.decode("utf-8", "surrogatepass") for t in targets]
+    counts = np.stack([_counts(x) for x in lines]) if len(lines) > 1 else None
 
     def of(query: bytes) -> list[int]:
         x = query.decode("utf-8", "surrogatepass")
-        return [i for i, y in enumerate(lines) if within(x, y, edits)]
+        if counts is None:
+            return [0] if within(x, lines[0], edits) else []
+        close = np.flatnonzero(np.abs(counts - _counts(x)).sum(axis=1) <= 2 * edits)
+        return [i for i in close.tolist() if within(x, lines[i], edits)]
 
     return of
 
