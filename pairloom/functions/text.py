@@ -34,7 +34,7 @@ def unpack_operation(packed: Column) -> Column:
 
 
 def _steps(reference: Column, query: Column) -> Column:
-    letters = lambda s: F.split(s, "(?!^)")
+    letters = lambda s: F.split(s, r"(?!^)(?!\z)")
     return F.zip_with(letters(reference), letters(query), lambda r, q: F.struct(r.alias("r"), q.alias("q")))
 
 

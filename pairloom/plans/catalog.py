@@ -420,7 +420,7 @@ def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     regular places, as gapped pairs."""
     text = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 80)
     rows = table(spark, sf_dir, "benchmark").select("item_id", text.alias("t"))
-    letters = F.split("t", "(?!^)")
+    letters = F.split("t", r"(?!^)(?!\z)")
     ref = F.array_join(F.transform(letters, lambda c, i: F.when(i % 13 == 6, "-").otherwise(c)), "")
     own = F.array_join(F.transform(letters, lambda c, i: F.when(i % 17 == 9, "-").when(i % 11 == 4, "#").otherwise(c)), "")
     return rows.select("item_id", ref.alias("reference"), own.alias("query")).where(F.length("reference") > 0)
