@@ -3,6 +3,7 @@ checked broadcasts and connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -40,6 +41,22 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing holds any more; it does so
+    as the driver collects garbage, which a quiet driver seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a saved df that no later result reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
 def narrow(df: DataFrame, carry: tuple[str, ...] = (), **columns: str) -> DataFrame:
     """The named columns under fixed names, whatever else df has, and those to carry
     along as fields of one struct, carried."""

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, save, small
+from .common import discard, narrow, release, save, small
 
 GRAM = 64
 #: Windows hashed at once; longer texts are taken piece by piece.
@@ -86,27 +86,27 @@ def _raw(text: str | None) -> np.ndarray:
 def _records(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts, n = [], []
-        for text in batch.column(2).to_pylist():
+        for text in batch.column(1).to_pylist():
             parts.append(segments(_raw(text), width))
             n.append(len(parts[-1][0]))
         take = np.repeat(np.arange(len(n)), n)
         s, e, g, seg = (np.concatenate(x) for x in zip(*parts)) if parts else ((np.empty(0, np.int64),) * 4)
-        yield pa.record_batch([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(s.astype(np.int64)), pa.array((e - s).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))], names=["doc_id", "own", "s", "more", "gram", "segment"])
+        yield pa.record_batch([batch.column(0).take(pa.array(take)), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))], names=["own", "s", "more", "gram", "segment"])
 
 
 def _single(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """One row for each window of the listed segments."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], []]
         for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = _raw(text)
             for r in rows:
                 n = r["more"] + 1
                 w = _windows(_grams(raw[r["s"] : r["s"] + n - 1 + width]), width)
-                for col, x in zip(cols, (np.full(n, r["gram"]), np.full(n, r["segment"]), np.full(n, r["many"]), np.arange(n, dtype=np.int32), w.view(np.int64))):
+                for col, x in zip(cols, (np.full(n, r["segment"]), np.full(n, r["many"]), np.arange(n, dtype=np.int32), w.view(np.int64))):
                     col.append(x)
-        kinds = np.int64, np.int64, np.bool_, np.int32, np.int64
-        yield pa.record_batch([pa.array(np.concatenate(c).astype(k) if c else np.empty(0, k)) for c, k in zip(cols, kinds)], names=["gram", "segment", "many", "at", "window"])
+        kinds = np.int64, np.bool_, np.int32, np.int64
+        yield pa.record_batch([pa.array(np.concatenate(c).astype(k) if c else np.empty(0, k)) for c, k in zip(cols, kinds)], names=["segment", "many", "at", "window"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -129,10 +129,6 @@ def _finished(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa
         yield pa.record_batch([*columns, pa.array(kept_all, pa.binary())][: 5 + with_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
 
-def _same(x: str, y: str) -> Column:
-    return F.col(x).eqNullSafe(F.col(y))
-
-
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, with_text: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and,
     if asked for, kept (the remaining bytes).
@@ -144,32 +140,39 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives no rows; other columns are ignored.  Strings are compared by 64-bit hashes under a
     64-bit anchor hash.
     """
-    docs = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
-    rec = save(docs.mapInArrow(lambda b: _records(b, width), "doc_id long, own long, s long, more int, gram long, segment long"), "segments")
+    docs = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
+    rec = save(docs.select("own", "text").mapInArrow(lambda b: _records(b, width), "own long, s int, more int, gram long, segment long"), "segments")
     grams = rec.groupBy("gram").agg(F.count("*").alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y"))
     grams = save(grams.where("n > 1").select("gram", (F.col("x") == F.col("y")).alias("alike")), "grams")
     again = save(rec.join(grams, "gram"), "repeated")
-
-    classes = again.where("not alike").groupBy("gram", "segment").agg(F.min(F.struct("doc_id", "own", "s", "more")).alias("one"), (F.count("*") > 1).alias("many"))
-    ones = classes.select(F.col("one.doc_id").alias("of"), F.col("one.own").alias("of_own"), F.struct("one.s", "one.more", "gram", "segment", "many").alias("r"))
-    ones = save(ones.groupBy("of", "of_own").agg(F.collect_list("r").alias("rows")), "ones")
-    held = docs.join(small(save(ones.select(F.col("of_own").alias("own")).distinct(), "ids")), "own", "left_semi").dropDuplicates(["doc_id", "own"])
-    single = held.join(ones, _same("doc_id", "of") & (F.col("own") == F.col("of_own"))).select("text", "rows")
-    single = save(single.mapInArrow(lambda b: _single(b, width), "gram long, segment long, many boolean, at int, window long"), "windows")
-    found = single.groupBy("gram", "window").agg(F.count("*").alias("n"), F.max("many").alias("many"))
-    found = save(found.where("n > 1 or many").select("gram", "window"), "found")
-    hit = single.join(found, ["gram", "window"]).groupBy("gram", "segment").agg(F.sort_array(F.collect_list("at")).alias("hit"))
-
-    whole = again.where("alike").select("doc_id", "own", F.struct(F.col("s").alias("start"), (F.col("s") + F.col("more") + width).alias("end")).alias("span"))
+    rec = grams = discard(rec)
+
+    # a segment's hash stands for its gram as well
+    classes = again.where("not alike").groupBy("segment").agg(F.min(F.struct("own", "s", "more")).alias("one"), (F.count("*") > 1).alias("many"))
+    ones = classes.select(F.col("one.own").alias("own"), F.struct("one.s", "one.more", "segment", "many").alias("r"))
+    ones = save(ones.groupBy("own").agg(F.collect_list("r").alias("rows")), "ones")
+    classes = release(docs.sparkSession)
+    held = docs.join(small(save(ones.select("own"), "ids")), "own", "left_semi").dropDuplicates(["own"])
+    single = save(held.join(ones, "own").select("text", "rows").mapInArrow(lambda b: _single(b, width), "segment long, many boolean, at int, window long"), "windows")
+    held = release(docs.sparkSession)
+    found = single.groupBy("window").agg(F.count("*").alias("n"), F.max("many").alias("many"))
+    found = save(found.where("n > 1 or many").select("window"), "found")
+    release(docs.sparkSession)
+    hit = single.join(found, "window").groupBy("segment").agg(F.sort_array(F.collect_list("at")).alias("hit"))
+    hit = save(hit, "hits")
+    single = found = discard(single)
+
+    whole = again.where("alike").select("own", F.struct(F.col("s").alias("start"), (F.col("s") + F.col("more") + width).alias("end")).alias("span"))
     gaps = F.filter(F.col("hit"), lambda p, i: (i == 0) | (p - F.get("hit", i - 1) > width))
-    part = again.where("not alike").join(save(hit, "hits"), ["gram", "segment"])
     # windows side by side become one span
     ends = F.filter(F.col("hit"), lambda p, i: (i == F.size("hit") - 1) | (F.get("hit", i + 1) - p > width))
-    part = part.select("doc_id", "own", F.explode(F.zip_with(gaps, ends, lambda a, b: F.struct((F.col("s") + a).alias("start"), (F.col("s") + b + width).alias("end")))).alias("span"))
-    spans = whole.unionByName(part).groupBy("doc_id", "own").agg(F.collect_list("span").alias("spans"))
-    spans = save(spans.withColumnRenamed("doc_id", "of").withColumnRenamed("own", "of_own"), "spans")
-    owners = small(save(spans.select(F.col("of_own").alias("own")).distinct(), "owners"))
-    touched = docs.join(owners, "own", "left_semi").join(spans, _same("doc_id", "of") & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "spans")
+    part = again.where("not alike").join(hit, "segment")
+    part = part.select("own", F.explode(F.zip_with(gaps, ends, lambda a, b: F.struct((F.col("s") + a).alias("start"), (F.col("s") + b + width).alias("end")))).alias("span"))
+    spans = save(whole.unionByName(part).groupBy("own").agg(F.collect_list("span").alias("spans")), "spans")
+    again = part = whole = discard(again)
+    owners = small(save(spans.select("own"), "owners"))
+    touched = docs.join(owners, "own", "left_semi").join(spans, "own", "left").select("doc_id", "text", "spans")
     clean = docs.join(owners, "own", "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return touched.union(clean).mapInArrow(lambda b: _finished(b, with_text), schema)
