@@ -35,7 +35,7 @@ def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of deduplicated: the kept text as its hash."""
-    found = deduplicated(documents(spark, sf_dir))
+    found = deduplicated(documents(spark, sf_dir), most=1)
     return found.select("doc_id", "n_lines", "n_removed", "n_repeated", "mostly_repeated", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

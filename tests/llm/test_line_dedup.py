@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pairloom.llm.line_dedup import deduplicated, parts, probes, within
+from pairloom.llm.queries import op3_line_edits
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +90,13 @@ def test_chains_hot_lines_and_odd_rows(spark):
     again = spark.createDataFrame([(None, line), (None, line), (5, line)], "doc_id long, text string")
     assert [x[3] for x in got(deduplicated(again))] == [0, 0, 1]
     assert deduplicated(docs.limit(0)).count() == 0
+
+
+def test_query_removes_lines_whatever_their_share(spark, tmp_path):
+    shared = [f"a line of boilerplate, number {i}: {c * 30}" for i, c in enumerate("abcdef")]
+    texts = ["\n".join(shared), "\n".join([*shared, "a line that only this text of all has, in the end"]), "\n".join(shared), "\n".join([shared[0], *[c * 60 for c in "uvwxyz"]])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(list(enumerate(texts)), most=1)
+    assert [(x[2], x[5]) for x in want][1:3] == [(6, texts[1].split("\n")[-1]), (6, "")]
+    out = {r.doc_id: (r.n_removed, r.n_repeated, r.kept_sha256) for r in op3_line_edits(spark, str(tmp_path)).collect()}
+    assert out == {x[0]: (x[2], x[3], hashlib.sha256(x[5].encode()).hexdigest()) for x in want}
