@@ -81,7 +81,7 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of repeated_sentences: the kept text as its hash."""
-    found = repeated_sentences(documents(spark, sf_dir), width=3)
+    found = repeated_sentences(documents(spark, sf_dir), width=3, min_words=50)
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -1,62 +1,126 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of `width` consecutive sentences is hashed to 128 bits; runs that occur more
-than once anywhere are found by one aggregate, and sentences under any but the first
-occurrence of a repeated run are removed.
+Every run of `width` consecutive sentences is hashed to 128 bits, and so is every shorter
+run that reaches a number of words, over-long sentences being taken word by word; runs
+that occur more than once anywhere are found by one aggregate, and what lies under any
+but the first occurrence of a repeated run is removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, pair_key, save
+from .common import narrow, save
 
 #: A sentence ends with these and the white space after them, or with a line feed.
-BOUNDARY = r"(?<=[.!?])[ \t\r]+|\n"
+BOUNDARY = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
+_SPACE = re.compile(r"[ \t\r]+")
+
+
+def units(text: str | None, min_words: int) -> tuple[list[str], list[int]]:
+    """The non-blank sentences of a text, trimmed, inner white space made single, and how
+    many words they have; one of more than min_words (if not 0) is given as its words,
+    each with a count of 0."""
+    out, words = [], []
+    for s in BOUNDARY.split(text or ""):
+        if s := _SPACE.sub(" ", s).strip(" "):
+            n = s.count(" ") + 1
+            if min_words and n > min_words:
+                out += s.split(" ")
+                words += [0] * n
+            else:
+                out.append(s)
+                words.append(n)
+    return out, words
+
+
+def runs(words: list[int], width: int, min_words: int) -> np.ndarray:
+    """start << 32 | size of the runs of units to compare: all of `width` whole sentences,
+    or the whole text if it has fewer, and the shortest of at least min_words words from
+    and to each unit, but for those that runs of `width` sentences cover."""
+    n, sizes = len(words), np.array(words, np.int64)
+    split = np.concatenate(([0], np.cumsum(sizes == 0)))
+    if n <= width:
+        at = np.zeros(1 if n and not split[-1] else 0, np.int64)
+        out = at << 32 | n
+    else:
+        at = np.flatnonzero(split[width:] == split[:-width])
+        out = at << 32 | width
+    total = np.concatenate(([0], np.cumsum(np.maximum(sizes, 1))))
+    if not min_words or total[-1] < min_words:
+        return out
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    starts = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    own = np.arange(n)
+    start, end = np.concatenate((own[ends <= n], starts[starts >= 0])), np.concatenate((ends[ends <= n], own[starts >= 0] + 1))
+    needed = (split[end] > split[start]) | (end - start < width)
+    return np.unique(np.concatenate((out, start[needed] << 32 | (end - start)[needed])))
+
+
+def _spans(batches: Iterator[pa.RecordBatch], width: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of, found, keys = [], [], []
+        for row, text in enumerate(batch.column(2).to_pylist()):
+            parts, words = units(text, min_words)
+            if not parts:
+                continue
+            digests = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in parts])
+            own = runs(words, width, min_words)
+            of.append(np.full(len(own), row))
+            found.append(own)
+            keys += [xxhash.xxh3_128_digest(digests[16 * i : 16 * (i + n)]) for i, n in zip((own >> 32).tolist(), (own & 0xFFFFFFFF).tolist())]
+        at = pa.array(np.concatenate(of) if of else [], pa.int64())
+        pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        columns = [batch.column(0).take(at), batch.column(1).take(at), np.concatenate(found) if found else pa.array([], pa.int64()), pair[:, 0], pair[:, 1]]
+        yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=["doc_id", "own", "run", "h0", "h1"])
 
 
-def sentences(text: Column) -> Column:
-    """The non-blank sentences of a text, trimmed, inner white space made single."""
-    parts = F.transform(F.split(text, BOUNDARY), lambda s: F.trim(F.regexp_replace(s, r"[ \t\r]+", " ")))
-    return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda s: s != "")
+def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, removed, kept = [], [], []
+        for text, hit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            parts, _ = units(text, min_words)
+            gone = sorted({j for run in hit or () for j in range(run >> 32, (run >> 32) + (run & 0xFFFFFFFF))})
+            n.append(len(parts))
+            removed.append(gone)
+            drop = set(gone)
+            kept.append(" ".join(x for i, x in enumerate(parts) if i not in drop) if gone else text)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([len(g) for g in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())]
+        yield pa.record_batch(columns, names=["doc_id", "n_sentences", "n_removed", "removed", "kept_text"])
 
 
-def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, min_words: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, n_sentences, n_removed, removed (positions
     of the removed sentences, ascending), kept_text (the other sentences, joined by a
     space where any was removed, else the text itself).
 
     A run is `width` consecutive sentences of one document; a document with fewer, but
-    at least one, is one run as a whole.  Of equal runs the first is that of the smallest
-    doc_id, then text hash, then position; runs within one document count too, also those
-    that overlap.  Null, empty and blank texts have no sentences and are returned as
-    they are.  Equal rows (same doc_id and text) are one document and get the same
-    result; a null doc_id comes before all others.  An empty table gives no rows; other
-    columns are ignored.  No group is capped: hot runs only meet partial aggregates and
-    a join that can split them.
+    at least one, is one run as a whole.  With min_words, fewer consecutive sentences of
+    at least so many words together are a run too, and a sentence of more than min_words
+    words counts as so many sentences of one word, of which only runs of at least
+    min_words words, also with whole sentences around, are compared: so a part of an
+    over-long sentence can go.  Words are what spaces, tabs and carriage returns separate.
+    Of equal runs the first is that of the smallest doc_id, then text hash, then position;
+    runs within one document count too, also those that overlap.  Null, empty and blank
+    texts have no sentences and are returned as they are.  Equal rows (same doc_id and
+    text) are one document and get the same result; a null doc_id comes before all others.
+    An empty table gives no rows; other columns are ignored.  No group is capped: hot runs
+    only meet partial aggregates and a join that can split them.
     """
-    docs = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = docs.select("doc_id", F.xxhash64("text").alias("own"), sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
-    n = F.greatest(F.size("s") - width, F.lit(0))
-    runs = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat_ws("\n", F.slice("s", i + 1, width)))
-    spans = cut.select("doc_id", "own", F.posexplode(runs).alias("at", "run"))
-    spans = spans.select("doc_id", "own", "at", F.struct(*[k.alias(f"h{i}") for i, k in enumerate(pair_key(F.col("run")))]).alias("h"))
-    spans = spans.select("doc_id", "own", "at", "h.h0", "h.h1")
-    place = F.struct("doc_id", "own", "at")
+    docs = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+    spans = docs.mapInArrow(lambda b: _spans(b, width, min_words), "doc_id long, own long, run long, h0 long, h1 long")
+    place = F.struct("doc_id", "own", "run")
     seen = spans.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = save(seen.where("first <> last").select("h0", "h1", "first"), "repeated")
     again = spans.join(seen, ["h0", "h1"]).where(~place.eqNullSafe(F.col("first")))
-    covered = again.select("doc_id", "own", F.explode(F.sequence("at", F.col("at") + width - 1)).alias("at"))
-    hit = covered.groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("at")).alias("hit"))
+    hit = again.groupBy("doc_id", "own").agg(F.collect_set("run").alias("hit"))
     hit = hit.withColumnRenamed("doc_id", "of").withColumnRenamed("own", "of_own")
-    rows = docs.withColumn("own", F.xxhash64("text")).join(hit, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left")
-    s = sentences(F.col("text"))
-    rows = rows.select("doc_id", "text", F.when(F.col("hit").isNotNull(), s).alias("s"), F.size(s).cast("long").alias("n_sentences"), F.coalesce("hit", F.array().cast("array<int>")).alias("hit"))
-    rows = rows.withColumn("removed", F.filter("hit", lambda i: i < F.col("n_sentences")))
-    # removed is sorted, so membership is a walk over the gaps between its entries
-    bounds = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.col("n_sentences").cast("int")))
-    gaps = F.zip_with(bounds, F.slice(bounds, 2, F.size(bounds) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    kept = F.flatten(F.transform(F.filter(gaps, lambda g: g.b - g.a > 1), lambda g: F.slice("s", g.a + 2, g.b - g.a - 1)))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(kept, " "))
-    return rows.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), "removed", text.alias("kept_text"))
+    rows = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "hit")
+    return rows.mapInArrow(lambda b: _cut(b, min_words), "doc_id long, n_sentences long, n_removed long, removed array<int>, kept_text string")

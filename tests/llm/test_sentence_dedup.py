@@ -37,3 +37,14 @@ def test_equal_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "A. B. C."), (1, "A. B. C."), (None, "A. B. C.")], "doc_id long, text string")
     assert sorted(r.n_removed for r in repeated_sentences(docs).collect()) == [0, 3, 3]
     assert repeated_sentences(docs.limit(0)).count() == 0
+
+
+def test_long_passages_of_few_sentences_go(spark):
+    """Against shared windows of 50 words, texts of one and two sentences and unpunctuated ones."""
+    w = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    two, one, tail = f"{w('p', 39)}. {w('q', 27)}.", w("r", 50) + ".", w("s", 70)
+    texts = [f"A a. {two} B b.", f"C c. {two} D d.", f"E e. {one} F f.", f"G g. {one} H h.", f"{w('t', 30)} {tail} {w('u', 9)}", f"{w('v', 61)} {tail}. I i.", f"J j. {w('x', 24)}. {w('y', 25)}. K k.", f"L l. {w('x', 24)}. {w('y', 25)}. M m.", f"N {w('a', 80)}. O o.", f"P {w('a', 80)}. O o. Q q."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in repeated_sentences(docs, min_words=50).collect()}
+    want = dict(enumerate(texts)) | {1: "C c. D d.", 3: "G g. H h.", 5: f"{w('v', 61)} {w('s', 70).split()[-1]}. I i.", 9: "P Q q."}
+    assert got == want
