@@ -112,9 +112,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     usable = sig.where("doc_id is not null and lo is not null")
     reps = save(usable.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     members = usable.select("doc_id", "lo", "hi").join(reps.where("n > 1").select("lo", "hi", "rep"), ["lo", "hi"])
-    same = save(members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "same")
+    copies = save(members.where("doc_id <> rep").distinct(), "copies")
+    same = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    own = usable.join(small(save(same.select("b").distinct().toDF("doc_id"), "copies")), "doc_id", "left_anti")
+    # a doc_id can be a copy by one of its texts and stand for a class by another
+    own = usable.join(small(copies.select("doc_id", "lo", "hi")), ["doc_id", "lo", "hi"], "left_anti")
     banded = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     buckets = save(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key"), "buckets")
     met = save(banded.join(buckets, "key"), "met")

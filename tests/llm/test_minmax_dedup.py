@@ -82,3 +82,9 @@ def test_signature_estimates_similarity():
     b = shingle_set(" ".join(f"a{i}" for i in range(400, 2000)), 4)
     true = shared(a, b) / (len(a) + len(b) - shared(a, b))
     assert abs((minmax(a, 1024) == minmax(b, 1024)).mean() - true) < 0.04
+
+
+def test_a_copy_by_one_text_is_linked_by_its_other(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b + " c")], "doc_id long, text string")
+    assert [x[2:] for x in got(near_groups(docs, k=4))] == [(1, True), (1, False), (1, False), (1, False)]
