@@ -32,27 +32,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged(docs, carry=COLUMNS[1:]).where("kept").select("doc_id", "carried.*")
 
 
+def _without_lines(docs: DataFrame, most: float) -> DataFrame:
+    out = deduplicated(docs, most=most, carry=COLUMNS[2:])
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("carried.n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", length.cast("long").alias("n_chars"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat within two edits elsewhere before them;
     n_chars follows a changed text.  A text of mostly repeated lines is left to the next
-    stage."""
-    out = deduplicated(docs, carry=COLUMNS[2:])
-    length = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("carried.n_chars"))
-    return out.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", length.cast("long").alias("n_chars"))
+    stage, which drops it as a near duplicate or removes its lines."""
+    return _without_lines(docs, 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates: five
     words a shingle, similarity 0.8.  Of rows that repeat a doc_id and text one stays;
-    documents without words or doc_id stay."""
+    documents without words or doc_id stay.  From the documents that stay, lines that
+    repeat among them go whatever their share, as line_dedup leaves texts of mostly
+    repeated lines whole."""
     docs = docs.select(*COLUMNS)
     gone = save(near_groups(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias(_NOT)).distinct(), "gone")
     left = docs.join(small(gone), F.col("doc_id") == F.col(_NOT), "left_anti")
     again = save(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(_NOT)), "again")
-    if again.isEmpty():
-        return left
-    single = left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_anti")
-    return single.union(left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not again.isEmpty():
+        single = left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_anti")
+        left = single.union(left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return _without_lines(save(left, "left"), 1)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,14 +415,15 @@ def tag_parse_zn_xc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", "mate", "zn.*", "xc.*")
 
 
-def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gapped(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
     """Benchmark texts against themselves with letters changed, taken out and put in at
-    regular places, as gapped pairs."""
-    text = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 80)
+    regular places, as gapped pairs; with first, of the first letters only, as _PAIRS has it."""
+    text = F.regexp_replace("text", "[^A-Za-z]", "")
+    text = text if first is None else F.substring(text, 1, first)
     rows = table(spark, sf_dir, "benchmark").select("item_id", text.alias("t"))
     letters = F.split("t", r"(?!^)(?!\z)")
     ref = F.array_join(F.transform(letters, lambda c, i: F.when(i % 13 == 6, "-").otherwise(c)), "")
-    own = F.array_join(F.transform(letters, lambda c, i: F.when(i % 17 == 9, "-").when(i % 11 == 4, "#").otherwise(c)), "")
+    own = F.array_join(F.transform(letters, lambda c, i: F.when((i % 17 == 9) & (i % 13 != 6), "-").when(i % 11 == 4, "#").otherwise(c)), "")
     return rows.select("item_id", ref.alias("reference"), own.alias("query")).where(F.length("reference") > 0)
 
 
@@ -435,18 +436,18 @@ ops AS (SELECT item_id, op, g, min(i) AS spot, count(*) AS n FROM runs GROUP BY
 
 @query(f"WITH {_PAIRS} SELECT item_id, string_agg(n || op, '' ORDER BY spot) AS cigar FROM ops GROUP BY item_id")
 def cigar_from_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gapped(spark, sf_dir).select("item_id", T.cigar(T.operations(F.col("reference"), F.col("query"))).alias("cigar"))
+    return _gapped(spark, sf_dir, 80).select("item_id", T.cigar(T.operations(F.col("reference"), F.col("query"))).alias("cigar"))
 
 
 @query(f"WITH {_PAIRS} SELECT item_id, string_agg((n << 4) | (strpos('MIDNSHP=X', op) - 1), ',' ORDER BY spot) AS packed FROM ops GROUP BY item_id")
 def cigar_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = T.cigar_packed(T.operations(F.col("reference"), F.col("query")))
-    return _gapped(spark, sf_dir).select("item_id", F.array_join(packed.cast("array<string>"), ",").alias("packed"))
+    return _gapped(spark, sf_dir, 80).select("item_id", F.array_join(packed.cast("array<string>"), ",").alias("packed"))
 
 
 @query(f"WITH {_PAIRS} SELECT item_id, string_agg(n || x, '' ORDER BY spot) AS cigar, CAST(sum(CASE WHEN x <> '=' THEN n ELSE 0 END) AS INTEGER) AS mismatches FROM exact GROUP BY item_id")
 def cigar_eqx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gapped(spark, sf_dir).select("item_id", T.cigar_equal_different(F.col("reference"), F.col("query")).alias("x")).select("item_id", "x.*")
+    return _gapped(spark, sf_dir, 80).select("item_id", T.cigar_equal_different(F.col("reference"), F.col("query")).alias("x")).select("item_id", "x.*")
 
 
 @query()

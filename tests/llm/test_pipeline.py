@@ -66,3 +66,13 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text + " x", "en", "a", 5), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or 0) for r in P.near_dedup(spark, docs, SF).collect()) == [0, 1]
     assert P.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
+def test_texts_of_mostly_repeated_lines_lose_them(spark):
+    shared = [f"a line of boilerplate, number {i}: {' '.join(c * 3 for _ in range(9))}" for i, c in enumerate("abcdef")]
+    own = lambda c: [" ".join(f"{c}{i}{j}" for j in range(12)) for i in range(4)]
+    texts = ["\n".join(shared + own(c)) for c in "xyz"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in P.near_dedup(spark, P.line_dedup(spark, docs, SF), SF).collect()}
+    want = [texts[0], *["\n".join(own(c)) for c in "yz"]]
+    assert out == {i: (t, len(t)) for i, t in enumerate(want)}

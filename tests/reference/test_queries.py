@@ -40,3 +40,11 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_gapped_pairs_hold_whole_texts(spark):
+    items = {r.item_id: "".join(c for c in r.text if c.isascii() and c.isalpha()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert max(map(len, items.values())) > 80
+    got = {r.item_id: list(r)[1:] for r in QUERIES["gapped_from_cigar"](spark, SF).collect()}
+    want = {k: ["".join("-" if i % 13 == 6 else c for i, c in enumerate(t)), "".join("-" if i % 17 == 9 and i % 13 != 6 else "#" if i % 11 == 4 else c for i, c in enumerate(t))] for k, t in items.items() if t}
+    assert got == want
