@@ -1,10 +1,10 @@
 """Packing documents into sequences by cutting-stock column generation.
 
 Every document gives full sequences and a rest.  The rests' length histogram (at most
-capacity - 1 numbers, the only thing the driver holds) is the demand of a cutting-stock
-linear program: a revised simplex whose columns a bounded knapsack prices.  Patterns
-that fill a sequence exactly are rounded down and what is left is filled by the same
-knapsack; lengths that no exact pattern takes are cut into powers of two, which fill
+capacity - 1 numbers, the only thing the driver holds) is the demand of the cutting-stock
+program of cutting_stock.py.  All its patterns are used: rounded down, then once more in
+the order of their fractions while pieces last.  The few rests that this leaves go by the
+same knapsack, and those that no pattern takes are cut into powers of two, which fill
 sequences without padding.  Patterns apply to ranks: rank r among all rests of a length
 gives sequence and offset in closed form, so the assignment is distributed.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import narrow, save
+from .cutting_stock import column_generation, knapsack
 from .tokenize import encoder
 
 
@@ -46,92 +47,35 @@ class Plan(NamedTuple):
     sequences: int
 
 
-def knapsack(lengths: list[int], values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """How often the best filling takes each length, at most most[i] times."""
-    best = np.zeros(capacity + 1)
-    steps: list[tuple[int, int]] = []
-    taken = []
-    for i, length in enumerate(lengths):
-        left, size = min(int(most[i]), capacity // length), 1
-        if values[i] <= 1e-12:
-            continue
-        while left > 0:
-            size = min(size, left)
-            left -= size
-            weight = size * length
-            candidate = best[: capacity + 1 - weight] + size * values[i]
-            better = np.zeros(capacity + 1, np.bool_)
-            better[weight:] = candidate > best[weight:] + 1e-12
-            best[weight:] = np.maximum(best[weight:], candidate)
-            steps.append((i, size))
-            taken.append(better)
-            size *= 2
-    out, at = np.zeros(len(lengths), np.int64), capacity
-    for (i, size), better in zip(reversed(steps), reversed(taken)):
-        if better[at]:
-            out[i] += size
-            at -= size * lengths[i]
-    return out
-
-
-def column_generation(lengths: list[int], demand: np.ndarray, capacity: int, rounds: int = 150, gap: float = 3e-3) -> list[tuple[np.ndarray, float]]:
-    """Basic columns and their values in the linear program's solution.  Stops when it
-    is within `gap` of Farley's or the material bound, or after `rounds` pivots, with
-    the feasible solution so far."""
-    m = len(lengths)
-    columns = [np.zeros(m, np.int64) for _ in range(m)]
-    for i in range(m):
-        columns[i][i] = min(capacity // lengths[i], demand[i])
-    inverse = np.diag([1.0 / c[i] for i, c in enumerate(columns)])
-    x = inverse @ demand
-    least = float(np.dot(lengths, demand)) / capacity
-    for _ in range(rounds):
-        duals = inverse.sum(axis=0)
-        new = knapsack(lengths, duals, demand, capacity)
-        price = float(duals @ new)
-        if price <= 1 + 1e-9 or x.sum() <= (1 + gap) * max(least, x.sum() / price):
-            break
-        direction = inverse @ new
-        ratios = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
-        out = int(np.argmin(ratios))
-        if not np.isfinite(ratios[out]):
-            break
-        inverse[out] /= direction[out]
-        factor = direction.copy()
-        factor[out] = 0
-        inverse -= np.outer(factor, inverse[out])
-        step = ratios[out]
-        x -= step * direction
-        x[out] = step
-        np.maximum(x, 0, out=x)
-        columns[out] = new
-    return list(zip(columns, x.tolist()))
-
-
-def make_plan(histogram: dict[int, int], capacity: int = 1024) -> Plan:
+def chosen(lengths: list[int], demand: np.ndarray, capacity: int, lack: int) -> tuple[list[tuple[np.ndarray, int]], list[tuple[np.ndarray, int]]]:
+    """Patterns and how often each is used: those of the linear program, rounded, and then
+    those of the knapsack for what is left."""
+    size, left = np.array(lengths), demand.copy()
+    rounded: list[tuple[np.ndarray, int]] = []
+    columns, _ = column_generation(lengths, demand, capacity, lack)
+    for column, x in columns:
+        if times := min([int(x + 1e-3), *(left[column > 0] // column[column > 0]).tolist()]):
+            rounded.append((column, times))
+            left -= times * column
+    for column, x in sorted(columns, key=lambda e: -(e[1] % 1)):
+        if x % 1 > 1e-3 and (column <= left).all():
+            rounded.append((column, 1))
+            left -= column
+    rest: list[tuple[np.ndarray, int]] = []
+    while (column := knapsack(size, size.astype(float), left, capacity, lack)) is not None:
+        times = int((left[column > 0] // column[column > 0]).min())
+        rest.append((column, times))
+        left -= times * column
+    return rounded, rest
+
+
+def make_plan(histogram: dict[int, int], capacity: int = 1024, lack: int = 8) -> Plan:
     """The assignment by ranks for rests of 1 to capacity - 1 tokens."""
     lengths = sorted((n for n in histogram if histogram[n] > 0), reverse=True)
     left = np.array([histogram[n] for n in lengths], np.int64)
-    used: list[tuple[np.ndarray, int]] = []
-    if lengths:
-        size = np.array(lengths)
-        columns = column_generation(lengths, left.copy(), capacity)
-        exact = [(c, x) for c, x in columns if int(c @ size) == capacity]
-        for column, x in exact:
-            if times := min([int(x + 1e-6), *(left[column > 0] // column[column > 0]).tolist()]):
-                used.append((column, times))
-                left -= times * column
-        for column, x in sorted(exact, key=lambda e: -(e[1] % 1)):
-            if x % 1 > 1e-6 and (column <= left).all():
-                used.append((column, 1))
-                left -= column
-        while int(left @ size) >= capacity:
-            column = knapsack(lengths, size.astype(float), left, capacity)
-            if int(column @ size) != capacity:
-                break
-            times = int((left[column > 0] // column[column > 0]).min())
-            used.append((column, times))
-            left -= times * column
+    used = [x for part in chosen(lengths, left, capacity, lack) for x in part] if lengths else []
+    for column, times in used:
+        left -= times * column
     ranges: dict[int, list[Range]] = {n: [] for n in lengths}
     at, sequence = dict.fromkeys(lengths, 0), 0
     for column, times in used:
@@ -211,7 +155,7 @@ def _assigned(batches: Iterator[pa.RecordBatch], plan: Plan, capacity: int) -> I
         yield pa.record_batch([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [()] * 7)], names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, lack: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs is a document: its ids and end_id; a null or empty text is the end
@@ -225,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     cut = save(docs.mapInArrow(lambda b: _cut(b, tokenizer, end_id, capacity), schema), "cut")
     counts = save(cut.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.size("full_crcs")).alias("full")), "counts")
     histogram = {r.rest: r.n for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    plan = make_plan(histogram, capacity)
+    plan = make_plan(histogram, capacity, lack)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("part", "rest", F.coalesce(F.sum("n").over(before.partitionBy("rest")), F.lit(0)).alias("ranked"))
     # one row for each part, that is for each task that cut documents

@@ -21,12 +21,16 @@ from .url_filter import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Where the public tokenizers' files are; every executor has them at the same place.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; every executor has it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    return round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
 def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", capacity=1024, end_id=0)
+    return pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
 def op6_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:

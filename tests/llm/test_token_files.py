@@ -1,18 +1,18 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pairloom.llm import simple8b
-from pairloom.llm.queries import TOKENIZERS
 from pairloom.llm.token_files import read_tokens, round_trip, write_tokens
 from pairloom.llm.tokenize import Encoder
 
 SF = "/root/testdata/sf0.001"
-WORD, BYTE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 @settings(max_examples=60, deadline=None)
@@ -34,7 +34,7 @@ def test_blocks_decode_alone():
     assert len(ones) == 10
 
 
-@pytest.mark.parametrize("path", [WORD, BYTE, f"{TOKENIZERS}/byte_bpe_50k.json"])
+@pytest.mark.parametrize("path", [WORD, BYTE])
 def test_cached_ids_are_the_tokenizers_own(spark, path):
     own, plain = Encoder(path), Tokenizer.from_file(path)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
