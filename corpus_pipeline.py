@@ -20,7 +20,7 @@ from pairloom.llm.line_dedup import deduplicated
 from pairloom.llm.minmax_dedup import near_groups
 from pairloom.llm.packing import pack
 from pairloom.llm.quality import judged
-from pairloom.llm.queries import TOKENIZERS
+from pairloom.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _NOT = "of"
@@ -71,7 +71,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens, as pack returns them."""
-    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", capacity=1024, end_id=0)
+    return pack(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
