@@ -1,9 +1,10 @@
 """Quality rules by weak supervision.
 
-Each rule votes for or against a document or abstains.  Expectation-maximisation over
-the counts of vote patterns (at most 3 ** rules of them, whatever the corpus) estimates
-how each rule votes on good and on bad documents, and the posterior probability of being
-good replaces the demand that all rules pass.  DataFrame functions only.
+Each rule votes for a document, against it, strongly against it, or abstains.
+Expectation-maximisation over the counts of vote patterns (at most 4 ** rules of them,
+whatever the corpus) estimates how each rule votes on good and on bad documents, and the
+posterior probability of being good replaces the demand that all rules pass: a vote
+against counts for as much as the rule's estimates say.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,8 +17,17 @@ from pyspark.sql import functions as F
 from .common import narrow, save
 
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Most votes against that a rule is presumed to cast on good documents.
-FALSE_ALARMS = 0.005
+#: Votes: strongly against, against, abstention, for.
+LEVELS = (-2, -1, 0, 1)
+#: Rules that decide which of the two classes is the good one.
+TRUSTED = ("few_symbols", "few_repeats", "mostly_letters")
+#: Presumed chances of the levels on good and on bad documents, for trusted rules and others, ...
+TRUST = (0.002, 0.008, 0.14, 0.85), (0.4, 0.3, 0.15, 0.15)
+BELIEF = (0.005, 0.015, 0.2, 0.78), (0.15, 0.2, 0.25, 0.4)
+#: ... which weigh as much as this share of all documents.
+WEIGHT = 0.002
+#: Presumed share of good documents, and the score of votes from which a document starts as good.
+GOOD, START = 0.9, 3
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -67,59 +77,64 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def votes() -> dict[str, Column]:
-    """By rule: 1 for, -1 against, 0 no vote."""
+    """By rule: 1 for, -1 against, -2 strongly against, 0 no vote."""
     n, c = F.col("n_words"), F.col
 
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(n == 0, 0).when(bad, -1).when(good, 1).otherwise(0)
+    def vote(good: Column, bad: Column, worse: Column) -> Column:
+        return F.when(n == 0, 0).when(worse, -2).when(bad, -1).when(good, 1).otherwise(0)
+
+    def share(part: str, of: str, good: int, bad: int, worse: int) -> Column:
+        return vote(c(part) * 100 <= good * c(of), c(part) * 100 > bad * c(of), c(part) * 100 > worse * c(of))
 
     return {
-        "long_enough": vote(n >= 100, n < 50),
-        "few_symbols": vote(c("n_symbols") * 100 <= 2 * n, c("n_symbols") * 100 > 10 * n),
-        "few_repeats": vote(c("n_repeat_words") * 100 <= 15 * n, c("n_repeat_words") * 100 > 30 * n),
-        "distinct_lines": vote((c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") * 100 > 30 * c("n_lines")),
-        "word_length": vote(c("word_chars").between(4 * n, 7 * n), ~c("word_chars").between(3 * n, 10 * n)),
-        "lower_case": vote(c("n_upper") * 100 <= 10 * c("word_chars"), c("n_upper") * 100 > 25 * c("word_chars")),
-        "mostly_letters": vote(c("n_letters") * 100 >= 96 * c("word_chars"), c("n_letters") * 100 < 89 * c("word_chars")),
-        "calm": vote(c("n_exclaim") * 100 <= 5 * n, c("n_exclaim") * 100 > 25 * n),
-        "rich_words": vote(c("n_distinct") * 100 >= 45 * n, (n >= 50) & (c("n_distinct") * 100 < 15 * n)),
+        "long_enough": vote(n >= 100, n < 50, n < 10),
+        "few_symbols": share("n_symbols", "n_words", 2, 10, 25),
+        "few_repeats": share("n_repeat_words", "n_words", 15, 30, 50),
+        "distinct_lines": vote((c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") * 100 > 30 * c("n_lines"), c("n_dup_lines") * 100 > 60 * c("n_lines")),
+        "word_length": vote(c("word_chars").between(4 * n, 7 * n), ~c("word_chars").between(3 * n, 10 * n), ~c("word_chars").between(2 * n, 15 * n)),
+        "lower_case": share("n_upper", "word_chars", 10, 25, 50),
+        "mostly_letters": vote(c("n_letters") * 100 >= 96 * c("word_chars"), c("n_letters") * 100 < 89 * c("word_chars"), c("n_letters") * 100 < 75 * c("word_chars")),
+        "calm": share("n_exclaim", "n_words", 5, 25, 50),
+        "rich_words": vote(c("n_distinct") * 100 >= 45 * n, (n >= 50) & (c("n_distinct") * 100 < 15 * n), (n >= 50) & (c("n_distinct") * 100 < 8 * n)),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """(prior of good, by rule and vote its probability on good and on bad documents) by
-    expectation-maximisation over counted vote patterns.  It starts from the belief that
-    a document with a vote against is probably bad, and holds each rule to at most
-    FALSE_ALARMS votes against good documents: bad documents are of several kinds that
-    few rules see, and without this bound a kind that one rule sees would count as good.
-    Laplace smoothing bounds all odds."""
+Tables = list[tuple[dict[int, float], dict[int, float]]]
+
+
+def posterior(prior: float, tables: Tables, pattern: tuple[int, ...]) -> float:
+    odds = math.log(prior / (1 - prior)) + sum(math.log(good[v] / bad[v]) for (good, bad), v in zip(tables, pattern))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int = 1000) -> tuple[float, Tables]:
+    """(prior of good, by rule the chances of its levels on good and on bad documents), the
+    maximum a posteriori by expectation-maximisation over counted vote patterns.
+
+    Documents start by their votes' sum, in which trusted rules count twice, so one vote
+    against doesn't make a document bad.  Then every rule's chances on both classes follow
+    from the documents alone but for the presumed ones, which weigh WEIGHT of all documents
+    and bound all odds; no chance is held to a limit."""
     if not patterns:
-        return 0.5, []
-    k = len(patterns[0][0])
-    good = [0.1 if -1 in p else 0.9 for p, _ in patterns]
-    prior, tables = 0.5, []
+        return GOOD, []
+    total = sum(n for _, n in patterns)
+    weight = WEIGHT * total
+    trusted = [r in TRUSTED for r in rules]
+    good = [1 / (1 + math.exp(START - sum(v + v * t for v, t in zip(p, trusted)))) for p, _ in patterns]
+    prior, tables = GOOD, []
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
         mass = sum(g * n for g, (_, n) in zip(good, patterns))
-        prior = (mass + 1) / (total + 2)
-        tables = []
-        for r in range(k):
-            table = {}
-            for v in (-1, 0, 1):
-                yes = sum(g * n for g, (p, n) in zip(good, patterns) if p[r] == v)
-                no = sum((1 - g) * n for g, (p, n) in zip(good, patterns) if p[r] == v)
-                table[v] = ((yes + 1) / (mass + 3), (no + 1) / (total - mass + 3))
-            if table[-1][0] > FALSE_ALARMS:  # a rule may not explain its votes against by good documents
-                spare = (1 - FALSE_ALARMS) / (1 - table[-1][0])
-                table = {v: (FALSE_ALARMS if v < 0 else a * spare, b) for v, (a, b) in table.items()}
-            tables.append(table)
-        new = []
-        for p, _ in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, p))
-            new.append(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))))
+        prior = (mass + GOOD * weight) / (total + weight)
+        sums = [tuple({v: weight * q for v, q in zip(LEVELS, presumed)} for presumed in (TRUST if t else BELIEF)) for t in trusted]
+        for g, (p, n) in zip(good, patterns):
+            for (a, b), v in zip(sums, p):
+                a[v] += g * n
+                b[v] += (1 - g) * n
+        tables = [({v: x / (mass + weight) for v, x in a.items()}, {v: x / (total - mass + weight) for v, x in b.items()}) for a, b in sums]
+        new = [posterior(prior, tables, p) for p, _ in patterns]
         moved = max(abs(a - b) for a, b in zip(good, new))
         good = new
-        if moved < 1e-6:
+        if moved < 1e-9:
             break
     return prior, tables
 
@@ -138,12 +153,14 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     rules = votes()
     named = stats.select("*", *[v.alias(f"vote_{r}") for r, v in rules.items()])
     columns = [f"vote_{r}" for r in rules]
-    counted = named.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*columns).collect()  # 3 ** rules rows at most
-    prior, tables = fit([(tuple(r[c] for c in columns), r.n) for r in counted])
+    counted = named.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*columns).collect()  # 4 ** rules rows at most
+    prior, tables = fit([(tuple(r[c] for c in columns), r.n) for r in counted], list(rules))
     odds = F.lit(math.log(prior / (1 - prior)))
-    for column, table in zip(columns, tables):
-        weight = {v: math.log(a / b) for v, (a, b) in table.items()}
-        odds = odds + F.when(F.col(column) == 1, weight[1]).when(F.col(column) == -1, weight[-1]).otherwise(weight[0])
+    for column, (good, bad) in zip(columns, tables):
+        by = F.when(F.col(column) == 1, math.log(good[1] / bad[1]))
+        for v in (-1, -2):
+            by = by.when(F.col(column) == v, math.log(good[v] / bad[v]))
+        odds = odds + by.otherwise(math.log(good[0] / bad[0]))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     quality = 1 / (1 + F.exp(-odds))
     return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"), F.round(quality, 6).alias("quality"), *["carried"] * bool(carry))
