@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of `width` consecutive sentences is hashed to 128 bits, and so is every shorter
-run that reaches a number of words, over-long sentences being taken word by word; runs
-that occur more than once anywhere are found by one aggregate, and what lies under any
-but the first occurrence of a repeated run is removed.
+run that reaches a number of words, over-long sentences being taken word by word.  One
+aggregate over the first 64 bits finds the few runs that may repeat; only these carry their
+places on, and what lies under any but the first occurrence of a repeated run is removed.
+A run's hash is a difference of prefix sums, so all runs of a text are hashed at once.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, save
+from .buckets import slices
+from .common import narrow, save, small
 
 #: A sentence ends with these and the white space after them, or with a line feed.
 BOUNDARY = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
 _SPACE = re.compile(r"[ \t\r]+")
+#: Odd factors of the two halves of a run's hash.
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def units(text: str | None, min_words: int) -> tuple[list[str], list[int]]:
@@ -64,34 +69,65 @@ def runs(words: list[int], width: int, min_words: int) -> np.ndarray:
     return np.unique(np.concatenate((out, start[needed] << 32 | (end - start)[needed])))
 
 
-def _spans(batches: Iterator[pa.RecordBatch], width: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        of, found, keys = [], [], []
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By half: the first n powers of its factor and of the factor's inverse mod 2^64."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(4096, 2 * n)
+        power = lambda f: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, f, np.uint64))))
+        _POWERS[:] = [(power(f), power(pow(f, -1, 1 << 64))) for f in _FACTORS]
+    return _POWERS
+
+
+def run_hashes(parts: list[str], run: np.ndarray) -> np.ndarray:
+    """Both halves of the runs' hashes, shape (runs, 2)."""
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in parts]), np.uint64).reshape(-1, 2)
+    start, size = run >> 32, run & 0xFFFFFFFF
+    out = np.empty((len(run), 2), np.uint64)
+    for half, (up, down) in enumerate(_powers(len(parts))):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digests[:, half] * up[: len(parts)])))
+        h = (sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(_FACTORS[1 - half])
+        out[:, half] = h ^ h >> np.uint64(29)
+    return out
+
+
+def _spans(batches: Iterator[pa.RecordBatch], width: int, min_words: int, places: bool) -> Iterator[pa.RecordBatch]:
+    """Runs by doc_id, own, run, h0, h1, or by h0 alone."""
+    for batch in slices(batches):
+        of, found, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, 2), np.uint64)]
         for row, text in enumerate(batch.column(2).to_pylist()):
             parts, words = units(text, min_words)
-            if not parts:
-                continue
-            digests = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in parts])
             own = runs(words, width, min_words)
-            of.append(np.full(len(own), row))
-            found.append(own)
-            keys += [xxhash.xxh3_128_digest(digests[16 * i : 16 * (i + n)]) for i, n in zip((own >> 32).tolist(), (own & 0xFFFFFFFF).tolist())]
-        at = pa.array(np.concatenate(of) if of else [], pa.int64())
-        pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        columns = [batch.column(0).take(at), batch.column(1).take(at), np.concatenate(found) if found else pa.array([], pa.int64()), pair[:, 0], pair[:, 1]]
-        yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=["doc_id", "own", "run", "h0", "h1"])
+            if len(own):
+                of.append(np.full(len(own), row))
+                found.append(own)
+                keys.append(run_hashes(parts, own))
+        pair = np.concatenate(keys).view(np.int64)
+        if places:
+            at = pa.array(np.concatenate(of))
+            columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.ascontiguousarray(x)) for x in (np.concatenate(found), pair[:, 0], pair[:, 1]))]
+            yield pa.record_batch(columns, names=["doc_id", "own", "run", "h0", "h1"])
+        else:
+            yield pa.record_batch([pa.array(np.ascontiguousarray(pair[:, 0]))], names=["h0"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, removed, kept = [], [], []
         for text, hit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             parts, _ = units(text, min_words)
-            gone = sorted({j for run in hit or () for j in range(run >> 32, (run >> 32) + (run & 0xFFFFFFFF))})
             n.append(len(parts))
-            removed.append(gone)
-            drop = set(gone)
-            kept.append(" ".join(x for i, x in enumerate(parts) if i not in drop) if gone else text)
+            if not hit:
+                removed.append([])
+                kept.append(text)
+                continue
+            run, edge = np.array(hit, np.int64), np.zeros(len(parts) + 1, np.int64)
+            np.add.at(edge, run >> 32, 1)
+            np.add.at(edge, (run >> 32) + (run & 0xFFFFFFFF), -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            removed.append(np.flatnonzero(gone).tolist())
+            kept.append(" ".join(x for x, g in zip(parts, gone.tolist()) if not g))
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array([len(g) for g in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())]
         yield pa.record_batch(columns, names=["doc_id", "n_sentences", "n_removed", "removed", "kept_text"])
 
@@ -115,12 +151,13 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     only meet partial aggregates and a join that can split them.
     """
     docs = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
-    spans = docs.mapInArrow(lambda b: _spans(b, width, min_words), "doc_id long, own long, run long, h0 long, h1 long")
+    firsts = docs.mapInArrow(lambda b: _spans(b, width, min_words, False), "h0 long")
+    maybe = small(save(firsts.groupBy("h0").count().where("count > 1").select("h0"), "maybe"))
+    spans = docs.mapInArrow(lambda b: _spans(b, width, min_words, True), "doc_id long, own long, run long, h0 long, h1 long")
+    spans = save(spans.join(maybe, "h0", "left_semi"), "spans")
     place = F.struct("doc_id", "own", "run")
-    seen = spans.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    seen = save(seen.where("first <> last").select("h0", "h1", "first"), "repeated")
+    seen = spans.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h0", "h1", "first")
     again = spans.join(seen, ["h0", "h1"]).where(~place.eqNullSafe(F.col("first")))
-    hit = again.groupBy("doc_id", "own").agg(F.collect_set("run").alias("hit"))
-    hit = hit.withColumnRenamed("doc_id", "of").withColumnRenamed("own", "of_own")
-    rows = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "hit")
+    hit = again.groupBy(F.col("doc_id").alias("of"), F.col("own").alias("of_own")).agg(F.collect_set("run").alias("hit"))
+    rows = docs.join(small(save(hit, "hits")), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "hit")
     return rows.mapInArrow(lambda b: _cut(b, min_words), "doc_id long, n_sentences long, n_removed long, removed array<int>, kept_text string")
