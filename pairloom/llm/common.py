@@ -8,11 +8,11 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which an id table is broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a saved table is broadcast; beyond them the join is shuffled.
+BROADCAST_BYTES = 16_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only
-    where that is unset (tests on one machine) a temporary folder is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset,
+    a temporary folder is made in local mode; on a cluster this is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = Path(tempfile.mkdtemp(prefix="pairloom-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -64,47 +66,42 @@ def narrow(df: DataFrame, carry: tuple[str, ...] = (), **columns: str) -> DataFr
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()], *carried)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, which must be saved, with a broadcast hint if it has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def pair_key(text: Column) -> list[Column]:
-    """128 bits that stand for a string."""
-    return [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, which must be saved, with a broadcast hint if it has at most `most` bytes; a value
+    that isn't of fixed size is measured by its text."""
+    fixed = sum(8 for _, t in df.dtypes if t in ("int", "bigint", "double", "boolean"))
+    measured = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, t in df.dtypes if t not in ("int", "bigint", "double", "boolean")]
+    size = df.agg(F.sum(sum(measured, F.lit(fixed + 8)))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the graph with edges (a, b): rows (id, component),
+    """Connected components of the graph with edges (a, b): saved rows (id, component),
     component being the smallest id reachable.  Ids without an edge to another id
     have no row.
 
     Each round maps every node to its smallest neighbour, follows these pointers
     two doublings far, and contracts the edges, so a path of n nodes needs about
-    log4 n rounds and a star one or two.  All state is in shared tables; a hot
+    log4 n rounds and a star one or two.  All state is in shared tables, two a round; a hot
     node only meets partial aggregates and joins against unique keys.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = save(edges.distinct(), "edges")
-    whole = None
+    rounds: list[DataFrame] = []
+    renamed = lambda df, old, new: df.select(F.col("id").alias(old), F.col("up").alias(new))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("id", "other")
         up = save(both.groupBy("id").agg(F.least(F.min("other"), "id").alias("up")), "up")
         for _ in range(2):
-            over = up.select(F.col("id").alias("up"), F.col("up").alias("over"))
-            up = save(up.join(over, "up").select("id", F.col("over").alias("up")), "up")
-        if whole is None:
-            whole = up
-        else:
-            over = up.select(F.col("id").alias("up"), F.col("up").alias("over"))
-            whole = save(whole.join(over, "up", "left").select("id", F.coalesce("over", "up").alias("up")), "whole")
-        edges = (
-            edges.join(up.select(F.col("id").alias("a"), F.col("up").alias("x")), "a")
-            .join(up.select(F.col("id").alias("b"), F.col("up").alias("y")), "b")
-            .where("x <> y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        )
-        edges = save(edges.distinct(), "edges")
-    if whole is None:
+            up = up.join(renamed(up, "up", "over"), "up").select("id", F.col("over").alias("up"))
+        up = save(up, "up")
+        rounds.append(up)
+        edges = edges.join(renamed(up, "a", "x"), "a").join(renamed(up, "b", "y"), "b").where("x <> y")
+        edges = save(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not rounds:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return whole.select("id", F.col("up").alias("component"))
+    whole = rounds[0]
+    for up in rounds[1:]:  # only nodes that still had edges are in it
+        whole = whole.join(renamed(up, "up", "over"), "up", "left").select("id", F.coalesce("over", "up").alias("up"))
+    whole = whole.select("id", F.col("up").alias("component"))
+    return save(whole, "components") if len(rounds) > 1 else whole

@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join.
 
-Distinct lines are split into edits + 1 even segments.  If two lines are within `edits`
+Equal lines are linked by their hashes.  Distinct longer lines are split into edits + 1 even segments.  If two lines are within `edits`
 edits, one segment of the shorter line is a substring of the longer one, at one of few
 positions that depend on both lengths.  Segments of the lines are index keys, substrings
 at these positions the probes; lines under one key are a bucket, in which edit distance
@@ -17,21 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import link
+from .buckets import grouped, slices
 from .common import components, narrow, save, small
 
 EDITS, MIN_CHARS = 2, 20
 #: Lines of a task whose keys aren't given twice; only saves work.
 _SEEN = 200_000
 _MASK = (1 << 64) - 1
+_BLANK = " \t\r\v\f"
+_hash = xxhash.xxh3_64_intdigest
 
 
 def _id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return _hash(line.encode("utf-8", "surrogatepass"))
 
 
 def parts(length: int, edits: int) -> list[tuple[int, int]]:
@@ -59,10 +57,6 @@ def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _key(other: int, segment: int, piece: str) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass"), (other << 8 | segment)))
-
-
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most `edits`: equal ends are cut off and a band
     of at most 64 diagonals is scanned with one machine word a column."""
@@ -111,30 +105,31 @@ def within(a: str, b: str, edits: int) -> bool:
     return distance <= edits
 
 
-def _long_lines(text: str | None, least: int) -> list[tuple[int, str]]:
-    return [(i, x) for i, x in enumerate(text.split("\n")) if len(x) >= least] if text else []
+def _lines_of(text: str | None, least: int) -> list[tuple[int, str]]:
+    """Lines of at least `least` characters, not blank, with their numbers."""
+    return [(i, x) for i, x in enumerate(text.split("\n")) if len(x) >= least and x.strip(_BLANK)] if text else []
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
         at, no, ids = [], [], []
         for row, text in enumerate(batch.column(2).to_pylist()):
-            for i, x in _long_lines(text, least):
+            for i, x in _lines_of(text, 1):
                 at.append(row)
                 no.append(i)
-                ids.append(_signed(_id(x)))
+                ids.append(_id(x))
         at = pa.array(at, pa.int64())
-        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(ids, pa.int64())], names=["doc_id", "own", "no", "line"])
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64))], names=["doc_id", "own", "no", "line"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch], least: int, edits: int, index: bool) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    plans: dict[int, list[tuple[int, int, int, int]]] = {}
-    for batch in batches:
+    plans: dict[int, list[tuple[int, int, int]]] = {}
+    for batch in slices(batches):
         keys, ids = [], []
         for text in batch.column(0).to_pylist():
-            for _, x in _long_lines(text, least):
-                own = _signed(_id(x))
+            for _, x in _lines_of(text, least):
+                own = _id(x)
                 if own in seen:
                     continue
                 if len(seen) >= _SEEN:
@@ -142,16 +137,18 @@ def _keys(batches: Iterator[pa.RecordBatch], least: int, edits: int, index: bool
                 seen.add(own)
                 n = len(x)
                 if (plan := plans.get(n)) is None:
-                    plan = plans[n] = [(n, i, at, size) for i, (at, size) in enumerate(parts(n, edits))] if index else probes(n, edits)
-                keys += [_key(other, i, x[at : at + size]) for other, i, at, size in plan]
+                    plan = [(n, i, at, size) for i, (at, size) in enumerate(parts(n, edits))] if index else probes(n, edits)
+                    plan = plans[n] = [(other << 8 | i, at, size) for other, i, at, size in plan]
+                keys += [_hash(x[at : at + size].encode("utf-8", "surrogatepass"), seed) for seed, at, size in plan]
                 ids += [own] * len(plan)
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "rep"])
+        yield pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, ids)], names=["key", "rep"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = {_signed(_id(x)): x.encode("utf-8", "surrogatepass") for text in batch.column(0).to_pylist() for _, x in _long_lines(text, least)}
-        yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "blob"])
+    for batch in slices(batches):
+        found = {_id(x): x for text in batch.column(0).to_pylist() for _, x in _lines_of(text, least)}
+        blobs = [x.encode("utf-8", "surrogatepass") for x in found.values()]
+        yield pa.record_batch([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(blobs, pa.binary())], names=["id", "blob"])
 
 
 def _counts(line: str) -> np.ndarray:
@@ -174,7 +171,7 @@ def _near(targets: list[bytes], edits: int) -> Callable[[bytes], list[int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, removed, kept, whole = [], [], [], []
         for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             lines = text.split("\n") if text is not None else []
@@ -192,53 +189,44 @@ def _cut(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBa
         yield pa.record_batch(columns, names=names[: len(columns)])
 
 
-def _same(x: str, y: str):
-    return F.col(x).eqNullSafe(F.col(y))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, most: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, most: float = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, n_repeated,
     mostly_repeated, kept_text and, if columns are to be carried along, their struct carried.
 
-    Lines are what \\n separates.  Those of at least min_chars characters (at least
-    edits + 1) that are equal or within `edits` edits are linked, and links are
-    transitive.  Of each component's lines all but the first, by doc_id, text hash and
-    position, are repeated, and are removed from their texts.  A document whose repeated
-    lines hold more than `most` of its characters is a copy rather than a text with
-    boilerplate: it is marked and left whole for document-level deduplication; most=1 turns
-    this off.  A null text stays null; shorter lines always stay; equal rows share
-    one result; a null doc_id comes first; an empty table gives no rows; other columns are
-    ignored.  Distinct lines are told apart by 64-bit hashes.  No bucket is capped.
+    Lines are what \\n separates.  Equal lines are linked, and so are those of at least
+    min_chars characters (at least edits + 1) within `edits` edits; links are transitive.
+    Blank lines (of white space) always stay.  Of each component's lines all but the first, by
+    doc_id, text hash and position, are repeated, and are removed from their texts.  With most
+    below 1, a document whose repeated lines hold more than that share of its characters is
+    left whole, for document-level deduplication, and marked in mostly_repeated.  A null text
+    stays null; equal rows share one result; a null doc_id comes first; an empty table gives no
+    rows; other columns are ignored.  Distinct lines are told apart by 64-bit hashes.  No
+    bucket is capped.
     """
     more = ["carried"] * bool(carry)
     docs = narrow(docs, carry, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text", *more)
     texts, least = docs.select("text"), max(min_chars, edits + 1)
-    lines = save(docs.mapInArrow(lambda b: _lines(b, least), "doc_id long, own long, no int, line long"), "lines")
+    lines = save(docs.mapInArrow(_lines, "doc_id long, own long, no int, line long"), "lines")
 
-    index = texts.mapInArrow(lambda b: _keys(b, least, edits, True), "key long, rep long")
-    keys = save(index.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")), "keys")
+    index = save(texts.mapInArrow(lambda b: _keys(b, least, edits, True), "key long, rep long").distinct(), "index")
+    keys = index.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y"))
     probe = texts.mapInArrow(lambda b: _keys(b, least, edits, False), "key long, rep long")
     hits = save(probe.join(keys, "key").where("x <> y or x <> rep").select("key", "rep").distinct(), "hits")
-    shared = save(hits.select("key").distinct(), "shared")
-    met = save(hits.union(index.join(small(shared), "key").select("key", "rep")).distinct(), "met")
+    met = save(hits.union(index.join(hits.select("key").distinct(), "key", "left_semi")).distinct(), "met")
 
     needed = small(save(met.select(F.col("rep").alias("id")).distinct(), "needed"))
     blobs = texts.mapInArrow(lambda b: _texts(b, least), "id long, blob binary").join(needed, "id", "left_semi")
     blobs = save(blobs.groupBy("id").agg(F.first("blob").alias("blob")), "blobs")
-    links = link(met, lambda ids: blobs.join(ids, "id", "left_semi"), lambda targets: _near(targets, edits))
-    groups = components(links).select(F.col("id").alias("line"), "component")
+    groups = grouped(met, blobs, lambda targets: _near(targets, edits)).select(F.col("id").alias("line"), "component")
 
     place = F.struct("doc_id", "own", "no")
-    named = save(lines.join(groups, "line", "left").select("doc_id", "own", "no", F.coalesce("component", "line").alias("part")), "named")
-    firsts = named.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = save(firsts.where("first <> last").select("part", "first"), "firsts")
-    gone = named.join(firsts, "part").where(~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy("doc_id", "own").agg(F.collect_set("no").alias("gone"))
-    gone = save(gone.withColumnRenamed("doc_id", "of").withColumnRenamed("own", "of_own"), "gone")
-    owners = small(save(gone.select(F.col("of_own").alias("own")).distinct(), "owners"))
-    touched = docs.join(owners, "own", "left_semi").join(gone, _same("doc_id", "of") & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "gone", *more)
-    clean = docs.join(owners, "own", "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"), *more)
+    named = lines.join(groups, "line", "left").select("doc_id", "own", "no", F.coalesce("component", "line").alias("part"))
+    firsts = named.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("part", "first")
+    gone = named.join(save(firsts, "firsts"), "part").where(~place.eqNullSafe(F.col("first")))
+    gone = gone.groupBy(F.col("doc_id").alias("of"), F.col("own").alias("of_own")).agg(F.collect_set("no").alias("gone"))
+    gone = small(save(gone, "gone"))
+    found = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "gone", *more)
     schema = "doc_id long, n_lines long, n_removed long, n_repeated long, mostly_repeated boolean, kept_text string"
     if carry:
         schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
-    return touched.union(clean).mapInArrow(lambda b: _cut(b, most), schema)
+    return found.mapInArrow(lambda b: _cut(b, most), schema)

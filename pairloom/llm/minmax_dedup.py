@@ -3,7 +3,8 @@
 Every permutation gives two signature values, the minimum and the maximum, so
 128 values cost 64 hash evaluations a shingle.  Each band joins both values of two
 permutations.  Documents of one shingle set are one class; classes that share a
-band are compared on their full sets, as buckets.py describes.
+band are compared on their full sets, as buckets.py describes.  Texts are read twice: for
+the signatures, and for the sets of classes that share a band.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import link
+from .buckets import grouped, slices
 from .common import components, narrow, save, small
 from .shingles import shingle_set
 
@@ -52,7 +53,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, lo, hi, bands = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, k)
@@ -70,7 +71,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.record_batch([batch.column(0), pa.array([shingle_set(x, k).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "blob"])
 
 
@@ -118,14 +119,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a doc_id can be a copy by one of its texts and stand for a class by another
     own = usable.join(small(copies.select("doc_id", "lo", "hi")), ["doc_id", "lo", "hi"], "left_anti")
     banded = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    buckets = save(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key"), "buckets")
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key")
     met = save(banded.join(buckets, "key"), "met")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(lambda b: _sets(b, k), "id long, blob binary")
-
-    links = link(met, fetch, lambda targets: _alike(targets, percent))
-    grouped = components(links.union(same))
-    out = sig.select("doc_id", "n_shingles").join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    ids = small(save(met.select(F.col("rep").alias("id")).distinct(), "ids"))
+    sets = save(docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(lambda b: _sets(b, k), "id long, blob binary"), "sets")
+    found = grouped(met, sets, lambda targets: _alike(targets, percent), known=same)
+    out = sig.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
-_CACHE = 300_000
+_CACHE = 50_000
 
 
 class _WordHash(dict):

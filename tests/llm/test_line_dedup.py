@@ -41,8 +41,8 @@ def test_lines_within_the_bound_share_a_key(a, changes, edits):
         assert any((o, i, long[s : s + n]) in index for o, i, s, n in probes(len(long), edits))
 
 
-def brute(rows, edits=2, least=20, most=0.5):
-    lines = [(d, t, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if t and len(x) >= least]
+def brute(rows, edits=2, least=20, most=1):
+    lines = [(d, t, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if t and x.strip()]
     kinds = sorted({x[3] for x in lines})
     up = list(range(len(kinds)))
 
@@ -56,7 +56,7 @@ def brute(rows, edits=2, least=20, most=0.5):
         for j in by[n + 1 :]:
             if len(kinds[j]) - len(kinds[i]) > edits:
                 break
-            if within(kinds[i], kinds[j], edits):
+            if min(len(kinds[i]), len(kinds[j])) >= least and within(kinds[i], kinds[j], edits):
                 up[root(i)] = root(j)
     part = {x: root(i) for i, x in enumerate(kinds)}
     first, out = {}, []
@@ -64,7 +64,7 @@ def brute(rows, edits=2, least=20, most=0.5):
         first.setdefault(part[x], (d, i))
     for d, t in rows:
         own = t.split("\n") if t is not None else []
-        gone = {i for i, x in enumerate(own) if len(x) >= least and first[part[x]] != (d, i)}
+        gone = {i for i, x in enumerate(own) if x.strip() and first[part[x]] != (d, i)}
         copy = sum(len(own[i]) for i in gone) > most * sum(map(len, own))
         out.append((d, len(own), 0 if copy else len(gone), len(gone), copy, t if copy or not gone else "\n".join(x for i, x in enumerate(own) if i not in gone)))
     return sorted(out)
@@ -78,6 +78,8 @@ def test_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert any(r[2] for r in want) and got(deduplicated(docs)) == want
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got(deduplicated(docs, most=0.5)) == brute(rows, most=0.5)
 
 
 def test_chains_hot_lines_and_odd_rows(spark):
@@ -100,3 +102,18 @@ def test_query_removes_lines_whatever_their_share(spark, tmp_path):
     assert [(x[2], x[5]) for x in want][1:3] == [(6, texts[1].split("\n")[-1]), (6, "")]
     out = {r.doc_id: (r.n_removed, r.n_repeated, r.kept_sha256) for r in op3_line_edits(spark, str(tmp_path)).collect()}
     assert out == {x[0]: (x[2], x[3], hashlib.sha256(x[5].encode()).hexdigest()) for x in want}
+
+
+def test_short_equal_lines_go(spark):
+    rows = [(1, "own words of the first text here\nSubscribe now!\n\nzz"), (2, "Subscribe now!\n \nzz\nsome words of the second text"), (3, "Subscribe noW!")]
+    out = got(deduplicated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute(rows) and out[1][5] == " \nsome words of the second text" and out[2][2] == 0
+
+
+def test_large_bucket_of_lines_that_are_not_alike(spark):
+    """One template whose lines share a segment, mostly more than two edits apart."""
+    r = random.Random(5)
+    rows = [(i, f"Order number {r.randrange(10**8):08d} has been shipped to you by our partner") for i in range(700)]
+    rows += [(1000 + i, rows[i][1].replace("been", "ben")) for i in range(0, 60, 7)]
+    out = got(deduplicated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute(rows) and sum(x[2] for x in out) >= 9
