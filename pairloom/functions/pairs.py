@@ -58,3 +58,12 @@ def search_kind(klass: Column, rescued: Column, proper: Column) -> Column:
     """Local-search class of a UU, UM or MM pair: rescued, else consistent, else null."""
     kind = F.when(rescued, "LocalRescue").when(proper, "localConsistance")
     return F.when(klass.isin("UU", "UM", "MM") & kind.isNotNull(), F.concat_ws("-", klass, kind))
+
+
+def placed(begin: Column, end: Column, query_begin: Column, query_end: Column, query_length: Column | int, reverse: Column) -> Column:
+    """struct(ref_begin, ref_end, query_begin, query_end, query_span) of an alignment, the
+    query's positions counted from the read's own start; null where any position is negative."""
+    length = F.lit(query_length) if isinstance(query_length, int) else query_length
+    own = lambda near, far: F.when(reverse, length - far - 1).otherwise(near)
+    out = F.struct(begin.alias("ref_begin"), end.alias("ref_end"), own(query_begin, query_end).alias("query_begin"), own(query_end, query_begin).alias("query_end"), (query_end - query_begin + 1).alias("query_span"))
+    return F.when(F.least(begin, end, query_begin, query_end) >= 0, out)

@@ -14,6 +14,11 @@ def has_flag(flag: Column, name: str) -> Column:
     return flag.bitwiseAND(FLAGS[name]) != 0
 
 
+def flags(**given: Column) -> Column:
+    """The flag bits of a record from booleans by name; nulls count as false."""
+    return sum((F.when(c, FLAGS[name]).otherwise(0) for name, c in given.items()), F.lit(0)).cast("long")
+
+
 def without_gaps(bases: Column) -> Column:
     return F.translate(bases, "-", "")
 
@@ -43,14 +48,9 @@ def operations(reference: Column, query: Column, lead_clip: Column | None = None
     is clipped (S), `-` there inserted (I), `-` in the query deleted (D), else M."""
     kind = lambda x: F.when(x["r"] == "Z", "S").when(x["r"] == "-", "I").when(x["q"] == "-", "D").otherwise("M")
     empty = F.array().cast("array<struct<op:string,len:int>>")
-
-    def step(runs: Column, op: Column) -> Column:
-        last = F.get(runs, F.size(runs) - 1)
-        grown = F.struct(last["op"].alias("op"), (last["len"] + 1).alias("len"))
-        same = (F.size(runs) > 0) & (last["op"] == op)
-        return F.when(same, F.array_append(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), grown)).otherwise(F.array_append(runs, F.struct(op.alias("op"), F.lit(1).alias("len"))))
-
-    runs = F.when(F.length(reference) == 0, empty).otherwise(F.aggregate(F.transform(_steps(reference, query), kind), empty, step))
+    marks = F.array_join(F.transform(_steps(reference, query), kind), "")
+    found = F.regexp_extract_all(marks, F.lit("(S+|I+|D+|M+)"), F.lit(1))
+    runs = F.when(F.length(reference) == 0, empty).otherwise(F.transform(found, lambda r: F.struct(F.substring(r, 1, 1).alias("op"), F.length(r).alias("len"))))
     clip = lambda n: F.when(n > 0, F.array(F.struct(F.lit("S").alias("op"), n.cast("int").alias("len")))).otherwise(empty)
     clips = [[] if n is None else [clip(n)] for n in (lead_clip, lag_clip)]
     return F.concat(*clips[0], runs, *clips[1])
@@ -145,3 +145,9 @@ def lenient_number(s: Column) -> Column:
 def checked_length(s: Column, most: int = 1024) -> Column:
     """s, or an error where it is longer than the format holds."""
     return F.when(F.length(s) > most, F.raise_error(F.concat(F.lit("longer than the format holds: "), F.substring(s, 1, 40)))).otherwise(s)
+
+
+def typed(value: Column, path: str, kind: str, strict: bool = False) -> Column:
+    """The value of a kind at a path of a JSON text; where it is of another kind null or, if
+    strict, an error."""
+    return (F.variant_get if strict else F.try_variant_get)(F.parse_json(value), path, kind)

@@ -21,6 +21,8 @@ _BASE = np.full(0x110000, 4, np.uint8)
 for _i, _letters in enumerate(("AaUu", "Cc", "Gg", "Tt")):
     _BASE[[ord(c) for c in _letters]] = _i
 _CELLS = 2_000_000
+#: Letters of the seeds round which windows are aligned.
+SEED = 12
 RESULT = "score int, ref_end int, query_end int, score2 int, ref_end2 int, ref_begin int, query_begin int, cigar string, mismatches int"
 
 
@@ -35,11 +37,25 @@ class Scoring:
     gap_extend: int = 1
     bases: bool = True
     matrix: tuple[int, ...] | None = None
+    #: Base codes 0 to 4 by letter, in place of the usual ones; others have code 4.
+    translation: tuple[tuple[str, int], ...] | None = None
 
     def codes(self, s: str) -> np.ndarray:
         points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if self.bases and self.translation is not None:
+            out = np.full(len(points), 4, np.uint8)
+            for letter, code in self.translation:
+                out[points == ord(letter)] = code
+            return out
         return _BASE[points] if self.bases else points
 
+    def seedless(self, n: int) -> int:
+        """The most that an alignment of a query of n letters without SEED equal letters in a
+        row can score."""
+        if self.bases or self.matrix:
+            return self.match * n
+        return self.match * n - min(self.mismatch, self.gap_open, self.gap_extend) * max(0, -(-n // (SEED - 1)) - 1)
+
     def table(self) -> np.ndarray:
         if self.matrix:
             return np.array(self.matrix, np.int32).reshape(5, 5)
@@ -97,6 +113,49 @@ def _ends(top: np.ndarray, at: np.ndarray, size: int, mask: int) -> tuple[int, i
     return score, column, int(at[column]), int(rest[second]), second if rest[second] > 0 else -1
 
 
+def _windows(query: np.ndarray, ref: np.ndarray, s: Scoring) -> list[tuple[int, int]]:
+    """[first, end) of the reference's parts that hold every alignment of positive score with
+    SEED equal letters in a row: a gap of n letters costs n at least, so none spans more than
+    the query and its score."""
+    own, other = query.astype("<u4").tobytes(), ref.astype("<u4").tobytes()
+    places = set()
+    for i in range(len(query) - SEED + 1):
+        gram = own[4 * i : 4 * (i + SEED)]
+        at = other.find(gram)
+        while at >= 0:
+            if at % 4 == 0:
+                places.add(at // 4)
+            at = other.find(gram, at + 1)
+    reach = len(query) * (1 + s.match) + 1
+    out: list[tuple[int, int]] = []
+    for p in sorted(places):
+        a, b = max(0, p - reach), min(len(ref), p + SEED + reach)
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
+def best_ends(coded: list[tuple[int, np.ndarray, np.ndarray]], s: Scoring) -> dict[int, tuple[int, int, int]]:
+    """By number of the pair score, ref_end and query_end of those pairs whose windows round
+    seeds suffice: no alignment without a seed scores as much as the best one found."""
+    if s.gap_extend < 1:
+        return {}
+    parts = [(i, a, q, r[a:b]) for i, q, r in coded if len(q) >= SEED for a, b in _windows(q, r, s)]
+    parts.sort(key=lambda x: len(x[3]))
+    found: dict[int, tuple[int, int, int]] = {}
+    while parts:
+        take = max(1, min(len(parts), _CELLS // max(1, len(parts[-1][3]))))
+        part, parts = parts[-take:], parts[:-take]
+        top, at = _fill([x[2] for x in part], [x[3] for x in part], s)
+        for row, (i, a, q, r) in enumerate(part):
+            score, column, end = _ends(top[row], at[row], len(r), 0)[:3]
+            if score > s.seedless(len(q)) and (i not in found or (-score, a + column) < (-found[i][0], found[i][1])):
+                found[i] = score, a + column, end
+    return found
+
+
 def trace(query: np.ndarray, ref: np.ndarray, s: Scoring) -> tuple[str, int]:
     """The edit string, M split into = and X, of the best alignment that ends at the last letters
     of both, and its mismatches with inserted and deleted letters counted."""
@@ -135,6 +194,11 @@ def align_all(queries: list[str | None], refs: list[str | None], s: Scoring, mas
     for none) and for spans up to most_span."""
     out: list[tuple] = [(0, -1, -1, 0, -1, -1, -1, None, None)] * len(queries)
     coded = [(i, s.codes(q), s.codes(r)) for i, (q, r) in enumerate(zip(queries, refs)) if q and r]
+    if mask is not None and mask < 15 and least_score is None:  # the ends alone are asked for
+        known = best_ends(coded, s)
+        for i, ends in known.items():
+            out[i] = (*ends, 0, -1, -1, -1, None, None)
+        coded = [x for x in coded if x[0] not in known]
     coded.sort(key=lambda x: (len(x[2]), len(x[1])))
     while coded:
         take = max(1, min(len(coded), _CELLS // max(1, len(coded[-1][2]))))
@@ -157,9 +221,11 @@ def align_all(queries: list[str | None], refs: list[str | None], s: Scoring, mas
 
 
 def aligner(s: Scoring = Scoring(), mask: int | None = None, least_score: int | None = 0, most_span: int = 32_767) -> Callable[[Column, Column], Column]:
-    """A function of (query, reference) columns that gives RESULT as a struct.  Null or
+    """A function of (query, reference) columns that gives RESULT as a struct; a reference may
+    be a literal, for many queries against one.  Null or
     empty sequences score 0 with positions -1.  mask defaults to the query's length; one
-    under 15 asks for no second score."""
+    under 15 asks for no second score; with neither that nor begins, parts of long references
+    that can't hold the best alignment are left out."""
 
     @F.pandas_udf(RESULT)
     def of(query: pd.Series, reference: pd.Series) -> pd.DataFrame:

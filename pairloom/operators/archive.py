@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small
+
 #: All columns of an alignment, so that ranks don't depend on the order of ties.
 TIES = ("mate", "ref_index", "ref_begin", "map_len", "is_rev", "sw", "mismatches", "quality", "is_filtered")
 
@@ -54,15 +56,16 @@ def concatenated(dictionaries: DataFrame, order: str) -> DataFrame:
     return placed.join(F.broadcast(offsets(dictionaries).select("owner", "offset")), "owner").withColumn("global_index", (F.col("offset") + F.col("local")).cast("long")).drop("offset", "local")
 
 
-def zip_merge(aln: DataFrame) -> DataFrame:
+def zip_merge(aln: DataFrame, n_mapped: Column | None = None, n_hashes: Column | None = None) -> DataFrame:
     """One row a read and mate over all inputs (column owner): input 0 gives all its
-    alignments, others their best-placed one; sums, or and the two highest scores."""
+    alignments, others their best-placed one; sums of what the alignments themselves count as
+    mapped places (1 each by default) and hashes, or of the filters, the two highest scores."""
     first = F.row_number().over(Window.partitionBy("name", "mate", "owner").orderBy("ref_index", "ref_begin", *[t for t in TIES if t not in ("ref_index", "ref_begin")]))
     taken = aln.withColumn("no", first).where("owner = 0 or no = 1")
+    total = lambda c, default: F.sum(F.lit(default) if c is None else c).cast("long")
     scores = F.slice(F.sort_array(F.collect_list("sw"), asc=False), 1, 2)
-    return taken.groupBy("name", "mate").agg(F.count("*").alias("n_mapped"), F.count_distinct("owner").alias("n_inputs"), F.bool_or("is_filtered").alias("is_filtered"), scores.alias("s")).select(
-        "name", "mate", "n_mapped", "n_inputs", "is_filtered", F.get("s", F.lit(0)).alias("top_sw"), F.coalesce(F.get("s", F.lit(1)), F.lit(0)).cast("long").alias("next_sw")
-    )
+    merged = taken.groupBy("name", "mate").agg(total(n_mapped, 1).alias("n_mapped"), total(n_hashes, 0).alias("n_hashes"), F.count_distinct("owner").alias("n_inputs"), F.bool_or("is_filtered").alias("is_filtered"), scores.alias("s"))
+    return merged.select("name", "mate", "n_mapped", "n_hashes", "n_inputs", "is_filtered", F.get("s", F.lit(0)).alias("top_sw"), F.coalesce(F.get("s", F.lit(1)), F.lit(0)).cast("long").alias("next_sw"))
 
 
 def unequal_inputs(aln: DataFrame, inputs: int) -> DataFrame:
@@ -78,6 +81,14 @@ def decorate(merged: DataFrame, special: DataFrame) -> DataFrame:
     return out.withColumn("special_code", F.when(F.col("n_mapped") > 1, F.col("special_code")))
 
 
+def with_group(records: DataFrame, groups: DataFrame, code: str = "code", label: str = "label") -> DataFrame:
+    """records with the label of their group by its code; a code that no group has is an error."""
+    known = groups.select(F.col(code), F.col(label).alias("found"))
+    rows = records.join(broadcast_if_small(known), code, "left")
+    missing = F.raise_error(F.concat(F.lit("no such group: "), F.coalesce(F.col(code).cast("string"), F.lit("null"))))
+    return rows.withColumn(label, F.when(F.col("found").isNull(), missing).otherwise(F.col("found"))).drop("found")
+
+
 def proper_pairs(aln: DataFrame, length: int, same_reference: bool = False) -> DataFrame:
     """Alignments of a read with a mate's within `length` on the other strand: the rows
     with `marked`.  A range join by bins of `length`: each mate-2 row goes to its bin and
@@ -94,6 +105,16 @@ def proper_pairs(aln: DataFrame, length: int, same_reference: bool = False) -> D
     return numbered.join(hits.withColumn("marked", F.lit(True)), ["name", "mate", "no"], "left").withColumn("marked", F.coalesce("marked", F.lit(False))).drop("no")
 
 
+def first_greatest(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """By group the row of greatest value, of equal ones the first by order."""
+    return df.groupBy(by).agg(F.max(F.struct(F.col(value).alias("value"), (-F.col(order)).alias("after"))).alias("m")).select(by, (-F.col("m.after")).alias(order), F.col("m.value").alias(value))
+
+
+def buffered(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """The first rows by order that a buffer of a size takes."""
+    return df.orderBy(*order).limit(size)
+
+
 def rows_between(df: DataFrame, key: str, start: int, length: int) -> DataFrame:
     """`length` rows from `start` on by a dense row number; beyond the rows is an error."""
     n = df.count()

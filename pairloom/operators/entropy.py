@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def byte_entropy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, entropy in bits, n_tokens, max_entropy, ratio (null for one symbol).  Null and
-    empty texts have entropy 0.  Byte counts are combined before the shuffle, so a text
-    moves at most 256 rows, whatever its length."""
-    codes = F.regexp_extract_all(F.hex(F.encode(text_col, "UTF-8")), F.lit("(..)"), F.lit(1))
-    counts = docs.select(id_col, F.explode_outer(codes).alias("byte")).groupBy(id_col, "byte").agg(F.count("byte").alias("n"))
-    total, plogp = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n")))
-    by = counts.groupBy(id_col).agg(total.alias("total"), plogp.alias("s"), F.count_if(F.col("n") > 0).alias("n_tokens"))
-    entropy = F.when(F.col("total") > 0, F.log2("total") - F.col("s") / F.col("total")).otherwise(0.0)
-    most = F.when(F.col("n_tokens") > 0, F.log2("n_tokens")).otherwise(0.0)
+    """id, entropy in bits, n_tokens, max_entropy, ratio (null for one symbol), a row a text.
+    Null and empty texts have entropy 0.  Bytes are counted within the row, one of the 256
+    values after the other, so nothing is exploded or shuffled."""
+    one = F.decode(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"), "ISO-8859-1")  # a character a byte
+    count = lambda b: F.length("bytes") - F.length(F.replace("bytes", F.chr(b), F.lit("")))
+    counts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(255)), count), lambda n: n > 0)
+    rows = docs.select(id_col, one.alias("bytes")).select(id_col, F.length("bytes").alias("total"), F.array_sort(counts).alias("counts"))
+    plogp = F.aggregate("counts", F.lit(0.0), lambda a, n: a + n * F.log2(n))
+    entropy = F.when(F.col("total") > 0, F.log2("total") - plogp / F.col("total")).otherwise(0.0)
+    kinds = F.size("counts").cast("long")
+    most = F.when(kinds > 0, F.log2(kinds)).otherwise(0.0)
     rounded = lambda c: F.round(c, 6) + 0.0  # noqa: E731  no negative zero
-    return by.select(id_col, rounded(F.abs(entropy)).alias("entropy"), "n_tokens", rounded(most).alias("max_entropy"), rounded(F.when(most > 0, F.abs(entropy) / most)).alias("ratio"))
+    return rows.select(id_col, rounded(F.abs(entropy)).alias("entropy"), kinds.alias("n_tokens"), rounded(most).alias("max_entropy"), rounded(F.when(most > 0, F.abs(entropy) / most)).alias("ratio"))

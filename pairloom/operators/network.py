@@ -99,6 +99,12 @@ class Network:
         """(layer, from, to, weight); from counts the layer's inputs, the bias last."""
         return [(k, j, i, float(x.weights[i, j])) for k, x in enumerate(self.layers) for i in range(x.weights.shape[0]) for j in range(x.weights.shape[1]) if x.mask is None or x.mask[i, j]]
 
+    def dump(self) -> list[str]:
+        """The parameters and every connection as lines of text."""
+        head = [f"layers={len(self.sizes)} sizes={' '.join(map(str, self.sizes))} shortcut={self.shortcut} connections={self.n_connections}"]
+        head += [f"layer {k}: {x.activation}, steepness {x.steepness}" for k, x in enumerate(self.layers, 1)]
+        return head + [f"layer {k + 1}: {j} -> {i} weight {w:.6f}" for k, j, i, w in self.edges()]
+
     def flat(self) -> np.ndarray:
         return np.concatenate([x.weights.ravel() for x in self.layers])
 
@@ -165,18 +171,23 @@ def create(sizes: list[int], seed: int = 0, activation: str = "sigmoid_symmetric
 
 
 def spread_weights(net: Network, low: float, high: float, seed: int = 0) -> Network:
-    """Initial weights from the range of the inputs: hidden weights lie within
-    (0.7 hidden) ^ (1 / inputs) / range, biases within that times the range."""
+    """Initial weights from the range of the inputs: with f = (0.7 hidden) ^ (1 / inputs) /
+    range, weights lie in [0, f) and biases in [-f, f)."""
     r, hidden = np.random.default_rng(seed), sum(net.sizes[1:-1])
     factor = (0.7 * hidden) ** (1 / net.sizes[0]) / (high - low)
     layers = []
     for x in net.layers:
-        w = r.uniform(-factor, factor, x.weights.shape)
-        w[:, -1] *= high - low
+        w = r.uniform(0, factor, x.weights.shape)
+        w[:, -1] = r.uniform(-factor, factor, len(w))
         layers.append(replace(x, weights=w if x.mask is None else w * x.mask))
     return replace(net, layers=tuple(layers))
 
 
+def randomised(net: Network, low: float, high: float, seed: int = 0) -> Network:
+    """All weights anew, in [low, high)."""
+    return net.with_flat(np.random.default_rng(seed).uniform(low, high, len(net.flat())))
+
+
 @dataclass(frozen=True)
 class Training:
     """Defaults of a training run."""
@@ -192,6 +203,8 @@ class Training:
     stop_by_bits: bool = False
     hidden: int = 100
     layers: int = 3
+    #: Rows that incremental training, which runs on the driver, takes; more are an error.
+    sequential_rows: int = 1_000_000
     report: Callable[[int, float, int], bool] | None = None
     history: list[float] = field(default_factory=list)
 
@@ -294,7 +307,9 @@ def train(net: Network, data: DataFrame, t: Training = Training()) -> Network:
     Incremental training is sequential by nature: it takes the rows in order, on the driver,
     and so is for small tables only."""
     if t.algorithm == "incremental":
-        rows = data.select("features", "target").toPandas()
+        rows = data.select("features", "target").limit(t.sequential_rows + 1).toPandas()
+        if len(rows) > t.sequential_rows:
+            raise ValueError(f"incremental training takes {t.sequential_rows} rows at most; use batch, rprop or quickprop")
         x, y = np.array(rows.features.tolist(), float), np.array(rows.target.tolist(), float)
     else:
         data = data.select("features", "target").persist()
@@ -341,6 +356,23 @@ def moments(data: DataFrame, column: str) -> DataFrame:
     return data.select(F.posexplode(column).alias("feature", "v")).groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
 
 
+def scaling(data: DataFrame, column: str) -> list[tuple[float, float]]:
+    """(mean, deviation) of each position of an array column, to be kept with a network."""
+    return [(r["mean"], r["deviation"]) for r in moments(data, column).orderBy("feature").collect()]  # as many rows as features
+
+
+def scaled(column: Column, kept: list[tuple[float, float]], low: float = -1.0, high: float = 1.0) -> Column:
+    """standardised() by kept parameters; null where a feature didn't vary."""
+    stats = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in kept])
+    return F.zip_with(column, stats, lambda v, s: F.when(s["d"] > 0, ((v - s["m"]) / s["d"] + 1) * (high - low) / 2 + low))
+
+
+def unscaled(column: Column, kept: list[tuple[float, float]], low: float = -1.0, high: float = 1.0) -> Column:
+    """The inverse of scaled()."""
+    stats = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in kept])
+    return F.zip_with(column, stats, lambda v, s: ((v - low) * 2 / (high - low) - 1) * s["d"] + s["m"])
+
+
 def standardised(data: DataFrame, column: str, low: float = -1.0, high: float = 1.0) -> DataFrame:
     """An array column with (v - mean) / deviation of its own feature, moved from [-1, 1] to
     [low, high]; null where a feature doesn't vary."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pairs import MATE_CLASSES, MODELS, PAIR_CLASSES, fragment_length, mate_class, orientation_model, pair_class, proper_orientation, search_kind
 
+#: Local-search classes in report order.
 SEARCH = tuple(f"{c}-{k}" for k in ("LocalRescue", "localConsistance") for c in ("UU", "UM", "MM"))
 
 
@@ -95,18 +96,53 @@ def moments(rows: DataFrame, value: Column, low: int, bins: int) -> DataFrame:
 SECTIONS = {"LF": (-99, 10_000), "LR": (0, 1000), "NA": (0, 5000), "MQ": (0, 256), "MM": (0, 100)}
 
 
+def long_values(aln: DataFrame, rows: DataFrame) -> DataFrame:
+    """section, x (a number) or label (a class) of everything that the report counts: one scan
+    of the alignments and one of the reads."""
+    pick = lambda section, x=None, label=None: F.struct(F.lit(section).alias("section"), (F.lit(None) if x is None else x).cast("long").alias("x"), (F.lit(None) if label is None else label).cast("string").alias("label"))
+    c = F.col
+    rescued = c("rescued") if "rescued" in rows.columns else F.lit(False)
+    unique = c("pair_class") == "UU"
+    own = [pick("LF", F.when(unique, c("fragment"))), *[pick("NA", F.when(c(n) > 0, c(n))) for n in ("n1", "n2")], *[pick("MC", label=c(n)) for n in ("class1", "class2")]]
+    own += [pick("RC", label=c("pair_class")), pick("LS", label=search_kind(c("pair_class"), rescued, c("proper"))), pick("OC", label=F.when(unique, c("model")))]
+    each = [pick("LR", c("map_len")), pick("MQ", c("quality")), pick("MM", c("mismatches"))]
+    both = aln.where(~c("is_filtered")).select(F.explode(F.array(*each)).alias("v")).union(rows.select(F.explode(F.array(*own)).alias("v")))
+    return both.select("v.*").where("x is not null or label is not null")
+
+
+def _bounds(sections: dict[str, tuple[int, int]], i: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for name, b in sections.items() for v in (name, b[i])]), F.col("section"))
+
+
 def report(aln: DataFrame, rows: DataFrame) -> DataFrame:
-    """The statistics report in long form: section, bin, x, n, cum, label."""
-    free = aln.where(~F.col("is_filtered"))
-    per_mate = rows.select(F.explode(F.array("n1", "n2")).alias("n")).where("n > 0")
-    sources = {"LF": (rows.where("pair_class = 'UU'"), F.col("fragment")), "LR": (free, F.col("map_len")), "NA": (per_mate, F.col("n")), "MQ": (free, F.col("quality")), "MM": (free, F.col("mismatches"))}
-    out = None
-    for name, (df, value) in sources.items():
-        part = histogram(df, value, *SECTIONS[name]).select(F.lit(name).alias("section"), "bin", "x", "n", "cum", F.col("x").cast("string").alias("label"))
-        out = part if out is None else out.unionByName(part)
-    for name in ("MC", "RC", "LS", "OC"):
-        out = out.unionByName(class_counts(rows, name).select(F.lit(name).alias("section"), "bin", F.col("bin").alias("x"), "n", "cum", "label"))
-    return out
+    """The statistics report in long form: section, bin, x, n, cum, label.  Windows run over
+    the bins of one section."""
+    domains = {"MC": MATE_CLASSES, "RC": PAIR_CLASSES, "LS": SEARCH, "OC": MODELS}
+    low, bins = _bounds(SECTIONS, 0), _bounds(SECTIONS, 1)
+    n = long_values(aln, rows).groupBy("section", F.when(F.col("x") < low, low - 1).otherwise(F.col("x")).cast("long").alias("x"), "label").agg(F.count("*").alias("n"))
+    labels = rows.sparkSession.createDataFrame([(k, i, x) for k, d in domains.items() for i, x in enumerate(d, 1)], "section string, bin long, label string")
+    classes = labels.join(n.where("label is not null").drop("x"), ["section", "label"], "left").select("section", "bin", F.col("bin").alias("x"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "label")
+    numbers = n.where(F.col("x") < low + bins).select("section", (F.col("x") - low).cast("long").alias("bin"), "x", "n", F.col("x").cast("string").alias("label"))
+    cum = F.sum("n").over(Window.partitionBy("section").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return numbers.union(classes).withColumn("cum", cum).where("bin >= 0").select("section", "bin", "x", "n", "cum", "label")
+
+
+def all_moments(aln: DataFrame, rows: DataFrame, sections: dict[str, tuple[int, int]]) -> DataFrame:
+    """moments() of every numeric section at once."""
+    low, bins = _bounds(sections, 0), _bounds(sections, 1)
+    x = F.col("x")
+    values = long_values(aln, rows).where(F.col("section").isin(*sections)).select("section", "x", low.alias("low"), (low + bins).alias("high"))
+    inside = (x >= F.col("low")) & (x < F.col("high"))
+    found = values.groupBy("section").agg(
+        F.count("x").alias("tot"),
+        F.round(F.avg(F.when(inside, x)), 6).alias("mean"),
+        F.round(F.stddev_pop(F.when(inside, x)), 6).alias("std"),
+        F.count_if(inside).alias("in_range"),
+        F.count_if(x >= F.col("high")).alias("over"),
+        F.count_if(x < F.col("low")).alias("under"),
+    )
+    names = rows.sparkSession.createDataFrame([(k,) for k in sections], "section string")
+    return names.join(found, "section", "left").fillna(0, ["tot", "in_range", "over", "under"])
 
 
 def header_lines(groups: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+_TIES = ", ".join(archive.TIES)
 ALN = """aln AS (
     SELECT CAST(l_orderkey AS BIGINT) AS name, CAST(1 + l_linenumber % 2 AS BIGINT) AS mate, CAST(l_suppkey % 8 AS BIGINT) AS ref_index,
         CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS ref_begin,
@@ -131,6 +132,42 @@ for _t, _rule in _PROPER.items():
     add(f"proper_orientation_{_t}", _oriented(_t), f"WITH {MATES} SELECT name, {_rule} AS proper, {_length} AS fragment, abs({_length}) BETWEEN 100 AND 500 AS in_window FROM reads WHERE together")
 
 
+@query(
+    f"""WITH {ALN}, x AS (SELECT name, mate, ref_begin, ref_end, sw % 50 - 2 AS qb, sw % 50 - 2 + map_len - 1 AS qe, is_rev FROM aln)
+SELECT name, mate, ref_begin, ref_end, CASE WHEN is_rev THEN 100 - qe - 1 ELSE qb END AS query_begin, CASE WHEN is_rev THEN 100 - qb - 1 ELSE qe END AS query_end, qe - qb + 1 AS query_span FROM x WHERE ref_begin >= 0 AND ref_end >= 0 AND qb >= 0 AND qe >= 0"""
+)
+def strand_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of 100 letters; their positions in the query are made up from the score."""
+    begin = F.col("sw") % 50 - 2
+    rows = alignments(spark, sf_dir).select("name", "mate", P.placed(F.col("ref_begin"), F.col("ref_end"), begin, begin + F.col("map_len") - 1, 100, F.col("is_rev")).alias("p"))
+    return rows.where("p is not null").select("name", "mate", "p.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 3 = 0 AS is_text FROM events")
+def variant_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third value is made a text, which isn't a number."""
+    value = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", r"(\d+)", '"n$1"')).otherwise(F.col("props"))
+    kind = F.schema_of_variant(F.try_variant_get(F.parse_json(value), "$.k", "variant"))
+    return table(spark, sf_dir, "events").select("event_id", T.typed(value, "$.k", "long").alias("k"), (kind == "STRING").alias("is_text"))
+
+
+@query("SELECT user_id, min(event_id) AS event_id, value FROM events JOIN (SELECT user_id, max(value) AS value FROM events GROUP BY user_id) USING (user_id, value) GROUP BY user_id, value")
+def first_greatest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.first_greatest(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
+
+
+@query(f"WITH {ALN} SELECT name, mate, ref_index, ref_begin FROM aln ORDER BY name, {_TIES} LIMIT 500")
+def bounded_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.buffered(alignments(spark, sf_dir), ["name", *archive.TIES], 500).select("name", "mate", "ref_index", "ref_begin")
+
+
+@query("SELECT l_orderkey AS name, l_linenumber AS line, s_name AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+def required_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("label"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("code"))
+    return archive.with_group(rows, groups).select("name", "line", "label")
+
+
 # counters and histograms
 
 _DOMAINS = {"MC": P.MATE_CLASSES, "RC": P.PAIR_CLASSES, "LS": stats.SEARCH, "OC": P.MODELS}
@@ -198,11 +235,7 @@ for _name, _kind, _low, _bins in (("hist_fragment", "LF", -99, 10_000), ("hist_r
     )
 )
 def hist_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for kind, bounds in (stats.SECTIONS | {"LR": (10, 20)}).items():
-        part = stats.moments(*_values(spark, sf_dir, kind), *bounds).select(F.lit(kind).alias("section"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return stats.all_moments(alignments(spark, sf_dir), reads(spark, sf_dir), stats.SECTIONS | {"LR": (10, 20)})
 
 
 @query(
@@ -232,9 +265,6 @@ def rg_header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # sorting, merging and joining
 
-_TIES = ", ".join(archive.TIES)
-
-
 @query(f"WITH {ALN} SELECT *, row_number() OVER (PARTITION BY name ORDER BY {_TIES}) AS place FROM aln")
 def sort_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = archive.rank_within(alignments(spark, sf_dir), ["name"], list(archive.TIES))
@@ -285,11 +315,12 @@ def key_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ZIP = f"""{ALN}, owned AS (SELECT *, sw % 2 AS owner FROM aln),
 placed AS (SELECT *, row_number() OVER (PARTITION BY name, mate, owner ORDER BY ref_index, ref_begin, mate, map_len, is_rev, sw, mismatches, quality, is_filtered) AS no FROM owned),
 taken AS (SELECT *, row_number() OVER (PARTITION BY name, mate ORDER BY sw DESC) AS k FROM placed WHERE owner = 0 OR no = 1),
-merged AS (SELECT name, mate, count(*) AS n_mapped, count(DISTINCT owner) AS n_inputs, bool_or(is_filtered) AS is_filtered, max(sw) AS top_sw, coalesce(max(sw) FILTER (k = 2), 0) AS next_sw FROM taken GROUP BY name, mate)"""
+merged AS (SELECT name, mate, CAST(sum(1 + quality % 3) AS BIGINT) AS n_mapped, CAST(sum(mismatches) AS BIGINT) AS n_hashes, count(DISTINCT owner) AS n_inputs, bool_or(is_filtered) AS is_filtered, max(sw) AS top_sw, coalesce(max(sw) FILTER (k = 2), 0) AS next_sw FROM taken GROUP BY name, mate)"""
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.zip_merge(alignments(spark, sf_dir).withColumn("owner", F.col("sw") % 2))
+    """The counts that alignments bring along are made up from other columns."""
+    return archive.zip_merge(alignments(spark, sf_dir).withColumn("owner", F.col("sw") % 2), 1 + F.col("quality") % 3, F.col("mismatches"))
 
 
 @query(f"WITH {_ZIP} SELECT * FROM merged")
@@ -337,6 +368,27 @@ def truth_join_se(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _truth(spark, sf_dir).drop("correct")
 
 
+_PAIRED = f"""{ALN}, g AS (SELECT CAST(o_orderkey AS BIGINT) AS name, CAST(o_custkey % 8 AS VARCHAR) AS chr, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS pos FROM orders),
+gold AS (SELECT name, CASE WHEN name % 2 = 0 THEN 1 ELSE 2 END AS mate, chr, pos FROM g UNION ALL SELECT name, CASE WHEN name % 2 = 0 THEN 2 ELSE 1 END, chr, pos + 100 FROM g),
+t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ref_begin, {_TIES}) - 1 AS spot FROM aln),
+test AS (SELECT *, CASE WHEN (spot % 2 = 0) = (first_value(sw % 2 = 0) OVER (PARTITION BY name, spot // 2 ORDER BY spot)) THEN 1 ELSE 2 END AS own FROM t WHERE spot < 2),
+joined AS (SELECT name, CAST(own AS BIGINT) AS mate, gold.chr AS true_chr, gold.pos AS true_pos, quality, CAST(ref_index AS VARCHAR) = gold.chr AND abs(ref_begin - gold.pos) < 20 AS correct, NOT is_filtered AS mapped, count(*) OVER (PARTITION BY name) AS n FROM gold JOIN test USING (name) WHERE gold.mate = own)"""
+
+
+@query(f"WITH {_PAIRED} SELECT name, mate, true_chr, true_pos, quality, correct, mapped AND bool_or(mapped AND mate = 1) OVER (PARTITION BY name) AS counted, bool_and(mapped) OVER (PARTITION BY name) AS reported FROM joined WHERE n = 2")
+def truth_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two gold and two test records a name, re-paired by the flag of the first."""
+    pos = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("name"), (F.col("o_custkey") % 8).cast("string").alias("chr"), pos.alias("pos"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("no"), F.when(F.col("name") % 2 == 0, 64).otherwise(128).alias("flag"), F.col("pos")), F.struct(F.lit(1).alias("no"), F.lit(128).alias("flag"), (F.col("pos") + 100).alias("pos"))))
+    gold = orders.select("name", "chr", both.alias("r")).select("name", "chr", "r.*")
+    aln = alignments(spark, sf_dir)
+    bits = T.flags(first=F.col("sw") % 2 == 0, second=F.col("sw") % 2 != 0, unmapped=F.col("is_filtered"))
+    test = aln.withColumns({"flag": bits, "chr": F.col("ref_index").cast("string"), "pos": F.col("ref_begin"), "side": F.col("mate")})
+    ties = ["pos", *["side" if t == "mate" else t for t in archive.TIES]]
+    return truth.attach_pairs(gold, test, "name", ["no"], ties).select("name", "mate", "true_chr", "true_pos", "quality", "correct", "counted", "reported")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def truth_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -398,9 +450,9 @@ def base_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.base_codes(F.col("text")).alias("codes"))
 
 
-@query("SELECT item_id, array_to_string(list_reverse(string_split(substring(text, 1, 60), '')), '') AS reversed FROM benchmark")
+@query("SELECT item_id, array_to_string(list_reverse(string_split(text, '')), '') AS reversed FROM benchmark")
 def reverse_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.reverse(F.substring("text", 1, 60)).alias("reversed"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.reverse("text").alias("reversed"))
 
 
 @query(
@@ -415,20 +467,18 @@ def tag_parse_zn_xc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", "mate", "zn.*", "xc.*")
 
 
-def _gapped(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts against themselves with letters changed, taken out and put in at
-    regular places, as gapped pairs; with first, of the first letters only, as _PAIRS has it."""
-    text = F.regexp_replace("text", "[^A-Za-z]", "")
-    text = text if first is None else F.substring(text, 1, first)
-    rows = table(spark, sf_dir, "benchmark").select("item_id", text.alias("t"))
+    regular places, as gapped pairs, as _PAIRS has them."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("t"))
     letters = F.split("t", r"(?!^)(?!\z)")
     ref = F.array_join(F.transform(letters, lambda c, i: F.when(i % 13 == 6, "-").otherwise(c)), "")
     own = F.array_join(F.transform(letters, lambda c, i: F.when((i % 17 == 9) & (i % 13 != 6), "-").when(i % 11 == 4, "#").otherwise(c)), "")
     return rows.select("item_id", ref.alias("reference"), own.alias("query")).where(F.length("reference") > 0)
 
 
-_PAIRS = """letters AS (SELECT item_id, substring(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 80) AS t FROM benchmark),
-steps AS (SELECT item_id, i, CASE WHEN i % 13 = 6 THEN '-' ELSE substring(t, i + 1, 1) END AS r, CASE WHEN i % 17 = 9 THEN '-' WHEN i % 11 = 4 THEN '#' ELSE substring(t, i + 1, 1) END AS q FROM (SELECT item_id, t, CAST(unnest(range(length(t))) AS BIGINT) AS i FROM letters)),
+_PAIRS = """letters AS (SELECT item_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM benchmark),
+steps AS (SELECT item_id, i, CASE WHEN i % 13 = 6 THEN '-' ELSE substring(t, i + 1, 1) END AS r, CASE WHEN i % 17 = 9 AND i % 13 <> 6 THEN '-' WHEN i % 11 = 4 THEN '#' ELSE substring(t, i + 1, 1) END AS q FROM (SELECT item_id, t, CAST(unnest(range(length(t))) AS BIGINT) AS i FROM letters)),
 kinds AS (SELECT *, CASE WHEN r = '-' THEN 'I' WHEN q = '-' THEN 'D' ELSE 'M' END AS op, CASE WHEN r = '-' THEN 'I' WHEN q = '-' THEN 'D' WHEN r = q THEN '=' ELSE 'X' END AS x FROM steps),
 runs AS (SELECT *, i - row_number() OVER (PARTITION BY item_id, op ORDER BY i) AS g, i - row_number() OVER (PARTITION BY item_id, x ORDER BY i) AS h FROM kinds),
 ops AS (SELECT item_id, op, g, min(i) AS spot, count(*) AS n FROM runs GROUP BY item_id, op, g), exact AS (SELECT item_id, x, h, min(i) AS spot, count(*) AS n FROM runs GROUP BY item_id, x, h)"""
@@ -436,26 +486,35 @@ ops AS (SELECT item_id, op, g, min(i) AS spot, count(*) AS n FROM runs GROUP BY
 
 @query(f"WITH {_PAIRS} SELECT item_id, string_agg(n || op, '' ORDER BY spot) AS cigar FROM ops GROUP BY item_id")
 def cigar_from_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gapped(spark, sf_dir, 80).select("item_id", T.cigar(T.operations(F.col("reference"), F.col("query"))).alias("cigar"))
+    return _gapped(spark, sf_dir).select("item_id", T.cigar(T.operations(F.col("reference"), F.col("query"))).alias("cigar"))
 
 
 @query(f"WITH {_PAIRS} SELECT item_id, string_agg((n << 4) | (strpos('MIDNSHP=X', op) - 1), ',' ORDER BY spot) AS packed FROM ops GROUP BY item_id")
 def cigar_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = T.cigar_packed(T.operations(F.col("reference"), F.col("query")))
-    return _gapped(spark, sf_dir, 80).select("item_id", F.array_join(packed.cast("array<string>"), ",").alias("packed"))
+    return _gapped(spark, sf_dir).select("item_id", F.array_join(packed.cast("array<string>"), ",").alias("packed"))
 
 
 @query(f"WITH {_PAIRS} SELECT item_id, string_agg(n || x, '' ORDER BY spot) AS cigar, CAST(sum(CASE WHEN x <> '=' THEN n ELSE 0 END) AS INTEGER) AS mismatches FROM exact GROUP BY item_id")
 def cigar_eqx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gapped(spark, sf_dir, 80).select("item_id", T.cigar_equal_different(F.col("reference"), F.col("query")).alias("x")).select("item_id", "x.*")
+    return _gapped(spark, sf_dir).select("item_id", T.cigar_equal_different(F.col("reference"), F.col("query")).alias("x")).select("item_id", "x.*")
 
 
-@query()
+# what breaks a run of matched letters, with the matched ones before it
+_MD = """marks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS j FROM kinds WHERE r <> '-'),
+breaks AS (SELECT *, j - 1 - coalesce(lag(j) OVER w, 0) AS run, lag(x) OVER w AS was FROM marks WHERE x <> '=' WINDOW w AS (PARTITION BY item_id ORDER BY j)),
+said AS (SELECT item_id, max(j) AS spot, string_agg(CASE WHEN x = 'X' THEN run || r ELSE CASE WHEN run > 0 THEN CAST(run AS VARCHAR) ELSE '' END || CASE WHEN run = 0 AND was = 'D' THEN '' ELSE '^' END || r END, '' ORDER BY j) AS body FROM breaks GROUP BY item_id),
+md AS (SELECT item_id, coalesce(body, '') || CASE WHEN n > coalesce(spot, 0) THEN CAST(n - coalesce(spot, 0) AS VARCHAR) ELSE '' END AS md FROM (SELECT item_id, count(*) AS n FROM marks GROUP BY item_id) LEFT JOIN said USING (item_id))"""
+
+
+@query(f"WITH {_PAIRS}, {_MD} SELECT item_id, md FROM md")
 def md_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gapped(spark, sf_dir).select("item_id", T.md_tag(F.col("reference"), F.col("query")).alias("md"))
 
 
-@query()
+@query(
+    f"WITH {_PAIRS}, {_MD}, c AS (SELECT item_id, string_agg(n || op, '' ORDER BY spot) AS cigar FROM ops GROUP BY item_id) SELECT item_id, '<@;' || item_id % 60 || ';;;2;;><&;' || item_id % 60 || ';;;2;' || cigar || ';' || md || '>' AS za FROM c JOIN md USING (item_id)"
+)
 def za_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, q = F.col("reference"), F.col("query")
     rows = _gapped(spark, sf_dir).select("item_id", T.cigar(T.operations(r, q)).alias("c"), T.md_tag(r, q).alias("m"))
@@ -463,7 +522,7 @@ def za_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.concat(part(True), part(False)).alias("za"))
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT item_id, string_agg(r, '' ORDER BY i) AS reference, string_agg(q, '' ORDER BY i) AS query FROM steps GROUP BY item_id")
 def gapped_from_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, q = F.col("reference"), F.col("query")
     back = T.gapped(T.without_gaps(r), T.without_gaps(q), T.operations(r, q))
@@ -477,7 +536,9 @@ def _candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     found = broadcast_if_small(seeding.candidates(items, docs, "item_id", "doc_id").select("item_id", "doc_id"))
     pairs = docs.select("doc_id", F.col("text").alias("ref")).join(found, "doc_id")
-    return pairs.join(broadcast_if_small(items.select("item_id", F.col("text").alias("query"))), "item_id")
+    pairs = pairs.join(broadcast_if_small(items.select("item_id", F.col("text").alias("query"))), "item_id")
+    # few rows of much work: a number of partitions, or adaptive planning puts them into one
+    return pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id", "doc_id")
 
 
 _LETTERS = align.Scoring(bases=False)
@@ -485,7 +546,7 @@ _LETTERS = align.Scoring(bases=False)
 
 @query()
 def sw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = align.aligner(_LETTERS, least_score=None)
+    of = align.aligner(_LETTERS, mask=0, least_score=None)
     return _candidate_pairs(spark, sf_dir).select("item_id", "doc_id", of("query", "ref").alias("a")).select("item_id", "doc_id", "a.score", "a.ref_end", "a.query_end")
 
 
@@ -549,35 +610,103 @@ def fixed_network(inputs: int, hidden: int) -> network.Network:
     return network.Network((network.Layer(w(hidden, inputs + 1, 1)), network.Layer(w(1, hidden + 1, 2))))
 
 
-_NET = fixed_network(5, 4)
+_NET, _PAIR_NET, _SINGLE_NET = fixed_network(5, 4), fixed_network(11, 100), fixed_network(5, 100)
 
 
-def _forward_sql() -> str:
-    hidden, last = _NET.layers[0].weights.tolist(), _NET.layers[1].weights.tolist()[0]
+def _forward_sql(net: network.Network = _NET, inputs: list[str] | None = None) -> str:
+    inputs = inputs or [f"embedding[{i + 1}]::DOUBLE" for i in range(net.sizes[0])]
+    hidden, last = net.layers[0].weights.tolist(), net.layers[1].weights.tolist()[0]
     tanh = lambda s: f"(2 / (1 + exp(-2 * greatest(-300, least(300, 0.5 * ({s}))))) - 1)"
-    units = [tanh(" + ".join([f"({w}) * embedding[{i + 1}]::DOUBLE" for i, w in enumerate(row[:-1])] + [f"({row[-1]})"])) for row in hidden]
+    units = [tanh(" + ".join([f"({w}) * {x}" for w, x in zip(row, inputs)] + [f"({row[-1]})"])) for row in hidden]
     return tanh(" + ".join([f"({w}) * {u}" for w, u in zip(last, units)] + [f"({last[-1]})"]))
 
 
-@query(f"WITH o AS (SELECT vec_id, {_forward_sql()} AS y FROM embeddings) SELECT vec_id, round(y, 6) AS output, CAST(CASE WHEN 1 - (1 + y) / 2 >= 1 THEN 255 WHEN 1 - (1 + y) / 2 <= 0 THEN 0 WHEN floor(-10 * log10(1 - (1 + y) / 2) + 0.5) > 255 THEN 0 ELSE floor(-10 * log10(1 - (1 + y) / 2) + 0.5) END AS BIGINT) AS phred FROM o")
+def _phred_sql(y: str) -> str:
+    return f"CAST(CASE WHEN 1 - (1 + {y}) / 2 >= 1 THEN 255 WHEN 1 - (1 + {y}) / 2 <= 0 THEN 0 WHEN floor(-10 * log10(1 - (1 + {y}) / 2) + 0.5) > 255 THEN 0 ELSE floor(-10 * log10(1 - (1 + {y}) / 2) + 0.5) END AS BIGINT)"
+
+
+@query(f"WITH o AS (SELECT vec_id, {_forward_sql()} AS y FROM embeddings) SELECT vec_id, round(y, 6) AS output, {_phred_sql('y')} AS phred FROM o")
 def nn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.get(_NET.forward(F.slice("embedding", 1, 5)), F.lit(0))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", y.alias("y"))
     return rows.select("vec_id", F.round("y", 6).alias("output"), S.phred(F.col("y")).alias("phred"))
 
 
+@query(f"SELECT vec_id, round({_forward_sql(_PAIR_NET)}, 6) AS output FROM embeddings")
+def nn_forward_pe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of 11, 100 and 1 neurons."""
+    y = F.get(_PAIR_NET.forward(F.slice("embedding", 1, 11)), F.lit(0))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(y, 6).alias("output"))
+
+
+_SINGLE = [[f"round((x{m}[6] - x{m}[7]) / (x{m}[5] * 10), 6)", f"round(x{m}[7] / x{m}[5], 6)", f"CAST(x{m}[7] AS DOUBLE)", f"round(log10(n{m} + 1), 6)", f"round(log10(x{m}[1] + 1), 6)"] for m in (1, 2)]
+_RECORD = "SELECT name, {m} AS mate, pair_class, n{m} AS own_n, n{o} AS other_n, r{m} AS own_r, r{o} AS other_r, proper, name % 25 AS code, fragment, {features} FROM reads"
+
+
+def _record_sql(m: int) -> str:
+    pair, single = [*_side(m), *_side(3 - m), _FRAGMENT], _SINGLE[m - 1]
+    return _RECORD.format(m=m, o=3 - m, features=", ".join([f"{x} AS p{i}" for i, x in enumerate(pair)] + [f"{x} AS s{i}" for i, x in enumerate(single)]))
+
+
+@query(
+    f"""WITH {MATES}, f AS ({_record_sql(1)} UNION ALL {_record_sql(2)}),
+y AS (SELECT *, CASE WHEN fragment IS NOT NULL THEN {_forward_sql(_PAIR_NET, [f"p{i}" for i in range(11)])} WHEN own_n > 0 THEN {_forward_sql(_SINGLE_NET, [f"s{i}" for i in range(5)])} END AS y FROM f),
+q AS (SELECT *, coalesce({_phred_sql("y")}, 0) AS mapq FROM y)
+SELECT q.name, CAST(q.mate AS BIGINT) AS mate, q.pair_class, n_name AS label, q.mapq, CAST(1 + CASE WHEN q.proper THEN 2 ELSE 0 END + CASE WHEN q.own_n = 0 THEN 4 ELSE 0 END + CASE WHEN q.other_n = 0 THEN 8 ELSE 0 END + CASE WHEN q.own_r THEN 16 ELSE 0 END + CASE WHEN q.other_r THEN 32 ELSE 0 END + CASE WHEN q.mate = 1 THEN 64 ELSE 128 END AS BIGINT) AS flag,
+'<@;' || q.mapq || ';;;' || q.own_n || ';;><&;' || o.mapq || ';;;' || q.other_n || ';;>' AS za FROM q JOIN q o ON q.name = o.name AND q.mate <> o.mate JOIN nation ON n_nationkey = q.code"""
+)
+def record_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads to records: classes, features, a network for pairs and one for single mates,
+    quality, required group, flags and tag."""
+    rows = reads(spark, sf_dir)
+    paired = [F.round(x, 6) for x in _pair_features(rows)]
+
+    def record(m: int):
+        o, a, c = 3 - m, F.col(f"a{m}"), F.col
+        single = [F.round(x, 6) for x in S.features(a["sw"], a["quality"], a["quality"], a["map_len"], a["quality"], c(f"n{m}"), a["ref_index"])]
+        features = F.array(*(paired if m == 1 else [*paired[5:10], *paired[:5], paired[10]]))
+        y = F.when(c("fragment").isNotNull(), F.get(_PAIR_NET.forward(features), F.lit(0))).when(c(f"n{m}") > 0, F.get(_SINGLE_NET.forward(F.array(*single)), F.lit(0)))
+        flag = T.flags(paired=F.lit(True), proper=c("proper"), unmapped=c(f"n{m}") == 0, mate_unmapped=c(f"n{o}") == 0, reverse=a["is_rev"], mate_reverse=c(f"a{o}")["is_rev"], **{("first", "second")[m - 1]: F.lit(True)})
+        return F.struct(F.lit(m).cast("long").alias("mate"), F.coalesce(S.phred(y), F.lit(0)).alias("mapq"), c(f"n{m}").alias("n"), flag.alias("flag"))
+
+    rows = rows.select("name", "pair_class", (F.col("name") % 25).cast("int").alias("code"), record(1).alias("m1"), record(2).alias("m2"))
+    swapped = F.array(F.struct(F.col("m1").alias("own"), F.col("m2").alias("other")), F.struct(F.col("m2").alias("own"), F.col("m1").alias("other")))
+    rows = rows.select("name", "pair_class", "code", F.explode(swapped).alias("r")).select("name", "pair_class", "code", "r.*")
+    groups = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"))
+    own, other, none = F.col("own"), F.col("other"), F.lit("")
+    part = lambda is_own, x: T.za_part(F.lit(is_own), x["mapq"], none, x["n"], none, none, F.lit(True))
+    return archive.with_group(rows, groups).select("name", own["mate"].alias("mate"), "pair_class", "label", own["mapq"].alias("mapq"), own["flag"].alias("flag"), F.concat(part(True, own), part(False, other)).alias("za"))
+
+
+def _steps_sql(points: tuple, low: int, high: int) -> str:
+    parts = [f"WHEN x < {b[0]!r}::DOUBLE THEN (x - ({a[0]!r}::DOUBLE)) * ({b[1] - a[1]!r}::DOUBLE) / ({b[0] - a[0]!r}::DOUBLE) + ({a[1]!r}::DOUBLE)" for a, b in zip(points, points[1:])]
+    return f"CASE WHEN x < {points[0][0]!r}::DOUBLE THEN {low}::DOUBLE {' '.join(parts)} ELSE {high}::DOUBLE END"
+
+
 @query(
     """WITH v AS (SELECT event_id, value / 100 - 1 AS x FROM events)
 SELECT event_id, round(x, 6) AS linear, CASE WHEN x < 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS threshold, round(1 / (1 + exp(-2 * x)), 6) AS sigmoid, round(2 / (1 + exp(-2 * x)) - 1, 6) AS sigmoid_symmetric, round(exp(-x * x), 6) AS gaussian, round(2 * exp(-x * x) - 1, 6) AS gaussian_symmetric,
-round(x / 2 / (1 + abs(x)) + 0.5, 6) AS elliot, round(x / (1 + abs(x)), 6) AS elliot_symmetric, round(greatest(0, least(1, x)), 6) AS linear_piece, round(greatest(-1, least(1, x)), 6) AS linear_piece_symmetric, round(sin(x), 6) AS sin_symmetric, round(cos(x), 6) AS cos_symmetric, round(sin(x) / 2 + 0.5, 6) AS sin, round(cos(x) / 2 + 0.5, 6) AS cos FROM v"""
+round(x / 2 / (1 + abs(x)) + 0.5, 6) AS elliot, round(x / (1 + abs(x)), 6) AS elliot_symmetric, round(greatest(0, least(1, x)), 6) AS linear_piece, round(greatest(-1, least(1, x)), 6) AS linear_piece_symmetric, round(sin(x), 6) AS sin_symmetric, round(cos(x), 6) AS cos_symmetric, round(sin(x) / 2 + 0.5, 6) AS sin, round(cos(x) / 2 + 0.5, 6) AS cos, CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS threshold_symmetric, 0.0::DOUBLE AS gaussian_stepwise, """
+    + f"round({_steps_sql(S.STEPWISE, 0, 1)}, 6) AS sigmoid_stepwise, round({_steps_sql(S.STEPWISE_SYMMETRIC, -1, 1)}, 6) AS sigmoid_symmetric_stepwise FROM v"
 )
 def activation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("value") / 100 - 1
-    wanted = ("linear", "threshold", "sigmoid", "sigmoid_symmetric", "gaussian", "gaussian_symmetric", "elliot", "elliot_symmetric", "linear_piece", "linear_piece_symmetric", "sin_symmetric", "cos_symmetric", "sin", "cos")
+    wanted = ("linear", "threshold", "sigmoid", "sigmoid_symmetric", "gaussian", "gaussian_symmetric", "elliot", "elliot_symmetric", "linear_piece", "linear_piece_symmetric", "sin_symmetric", "cos_symmetric", "sin", "cos", "threshold_symmetric", "gaussian_stepwise", "sigmoid_stepwise", "sigmoid_symmetric_stepwise")
     values = S.activations(x)
     return table(spark, sf_dir, "events").select("event_id", *[F.round(values[n], 6).alias(n) for n in wanted])
 
 
+@query(
+    """WITH v AS (SELECT event_id, value / 100 - 1 AS x FROM events), y AS (SELECT *, 1 / (1 + exp(-2 * x)) AS p, exp(-x * x) AS g FROM v)
+SELECT event_id, 0.5::DOUBLE AS linear, round(greatest(0.01, least(0.99, p)) * (1 - greatest(0.01, least(0.99, p))), 6) AS sigmoid, round(0.5 * (1 - greatest(-0.98, least(0.98, 2 * p - 1)) ** 2), 6) AS sigmoid_symmetric, round(-0.5 * x * g, 6) + 0.0 AS gaussian, round(-0.5 * x * 2 * g, 6) + 0.0 AS gaussian_symmetric,
+round(0.25 / (1 + abs(x)) ** 2, 6) AS elliot, round(0.5 / (1 + abs(x)) ** 2, 6) AS elliot_symmetric, round(0.5 * cos(0.5 * x), 6) AS sin_symmetric, round(-0.5 * sin(0.5 * x), 6) + 0.0 AS cos_symmetric, round(0.25 * cos(0.5 * x), 6) AS sin, round(-0.25 * sin(0.5 * x), 6) + 0.0 AS cos FROM y"""
+)
+def derivative_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("value") / 100 - 1
+    outputs = S.activations(x)
+    return table(spark, sf_dir, "events").select("event_id", *[(F.round(S.derivatives(outputs[n], 0.5, x)[n], 6) + 0.0).alias(n) for n in S.derivatives(x, 0.5, x)])
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.slice("embedding", 1, 11).cast("array<double>").alias("features"), F.array(F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0)).alias("target"))
 
@@ -594,6 +723,15 @@ def scale_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", F.round(F.get("features", F.lit(0)), 6).alias("first"), F.round(F.get("features", F.lit(10)), 6).alias("last"))
 
 
+@query("SELECT vec_id AS row_id, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(CAST(embedding[11] AS DOUBLE), 5) AS last FROM embeddings")
+def scale_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised by kept parameters and back."""
+    rows = _vectors(spark, sf_dir)
+    kept = network.scaling(rows, "features")
+    back = network.unscaled(network.scaled(F.col("features"), kept, 0.0, 3.0), kept, 0.0, 3.0)
+    return rows.select("row_id", back.alias("v")).select("row_id", F.round(F.get("v", F.lit(0)), 5).alias("first"), F.round(F.get("v", F.lit(10)), 5).alias("last"))
+
+
 @query(f"WITH o AS (SELECT ((CASE WHEN label % 2 = 0 THEN 1 ELSE -1 END) - {_forward_sql()}) / 2 AS d FROM embeddings) SELECT round(avg(d * d), 6) AS mse, count(*) FILTER (abs(d) >= 0.35) AS bit_fail FROM o")
 def mse_bitfail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.scored(_vectors(spark, sf_dir).withColumn("features", F.slice("features", 1, 5)), _NET)

@@ -77,21 +77,24 @@ def network_text(net: Network, fixed: bool = False) -> str:
     connections as (neuron, weight)."""
     places = decimal_point(net)
     number = (lambda v: str(round(v * (1 << places)))) if fixed else (lambda v: f"{v:.20e}")
-    sizes, neurons, links, first = [n + 1 for n in net.sizes], [], [], 0
-    neurons += [(0, 0, 0.0)] * sizes[0]
+    # a shortcut network has one bias, after its inputs
+    sizes = [n + (1 if not net.shortcut or not k else 0) for k, n in enumerate(net.sizes)]
+    neurons, links, first = [(0, 0, 0.0)] * sizes[0], [], 0
     for k, x in enumerate(net.layers):
-        sources = list(range(first, first + sizes[k]))
+        inputs, width = net.sizes[0], x.weights.shape[1]
+        sources = [*range(inputs), *range(inputs + 1, width), inputs] if net.shortcut else list(range(first, first + sizes[k]))
         for i in range(x.weights.shape[0]):
-            kept = [j for j in range(x.weights.shape[1]) if x.mask is None or x.mask[i, j]]
+            kept = [j for j in range(width) if x.mask is None or x.mask[i, j]]
             neurons.append((len(kept), NAMES.index(x.activation), x.steepness))
             links += [(sources[j], x.weights[i, j]) for j in kept]
-        neurons.append((0, 0, 0.0))
+        neurons += [(0, 0, 0.0)] * (not net.shortcut)
         first += sizes[k]
     return "\n".join(
         [
             FIXED_FILE if fixed else FLOAT_FILE,
             *[f"decimal_point={places}"] * fixed,
             f"num_layers={len(sizes)}",
+            f"network_type={int(net.shortcut)}",
             f"layer_sizes={' '.join(map(str, sizes))} ",
             "neurons (num_inputs, activation_function, activation_steepness)=" + "".join(f"({a}, {b}, {number(c)}) " for a, b, c in neurons),
             "connections (connected_to_neuron, weight)=" + "".join(f"({a}, {number(w)}) " for a, w in links),
@@ -101,7 +104,8 @@ def network_text(net: Network, fixed: bool = False) -> str:
 
 
 def network_of(text: str) -> Network:
-    """A layered network from such text, float or fixed-point; unknown entries are ignored."""
+    """A layered or shortcut network from such text, float or fixed-point; unknown entries are
+    ignored."""
     entries = dict(line.split("=", 1) for line in text.splitlines() if "=" in line)
     version = text.split("\n", 1)[0].strip()
     if not re.match(r"FANN_(FLO|FIX)_", version):
@@ -111,20 +115,28 @@ def network_of(text: str) -> Network:
     part = lambda head: re.findall(r"\(([^)]*)\)", next(v for k, v in entries.items() if k.startswith(head)))
     neurons = [(int(a), int(b), float(c) / scale) for a, b, c in (x.split(",") for x in part("neurons"))]
     links = [(int(a), float(b) / scale) for a, b in (x.split(",") for x in part("connections"))]
+    shortcut = entries.get("network_type", "0").strip() == "1"
     layers, at, link, first = [], sizes[0], 0, 0
     for k in range(1, len(sizes)):
-        n = sizes[k] - 1
-        weights, mask = np.zeros((n, sizes[k - 1])), np.zeros((n, sizes[k - 1]))
+        n = sizes[k] - (not shortcut)
+        width, inputs = (sum(sizes[:k]) if shortcut else sizes[k - 1]), sizes[0] - 1
+        column = (lambda s: s if s < inputs else width - 1 if s == inputs else s - 1) if shortcut else (lambda s: s - first)  # noqa: B023
+        weights, mask = np.zeros((n, width)), np.zeros((n, width))
         for i in range(n):
             for source, w in links[link : link + neurons[at + i][0]]:
-                weights[i, source - first], mask[i, source - first] = w, 1
+                weights[i, column(source)], mask[i, column(source)] = w, 1
             link += neurons[at + i][0]
         _, code, steepness = neurons[at]
         layers.append(Layer(weights, NAMES[code], steepness or 0.5, None if mask.all() else mask))
         at, first = at + sizes[k], first + sizes[k - 1]
-    return Network(tuple(layers))
+    return Network(tuple(layers), shortcut)
 
 
 def load_network(spark: SparkSession, path: str) -> Network:
     """A network file from any store that Spark reads."""
     return network_of(spark.read.text(path, wholetext=True).first()[0])
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """The statistics report as tab-separated lines, section by section."""
+    return report.orderBy("section", "bin").select(F.concat_ws("\t", "section", "bin", "label", "n", "cum").alias("value"))

@@ -44,3 +44,17 @@ def test_tags_and_numbers(spark):
     assert tuple(row.z) == (1.5, 2.0, None, 0.25, 7, None) and tuple(row.x) == ("chr1", -5) and row.n == 12.5 and row.none is None and row.b == "01230444"
     with pytest.raises(Exception, match="longer"):
         spark.range(1).select(T.checked_length(F.lit("x" * 1025))).collect()
+
+
+def test_values_of_functions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert value(T.flags(paired=F.lit(True), unmapped=F.lit(False), mate_reverse=F.lit(None).cast("boolean"), second=F.lit(True))) == 129
+    assert tuple(value(P.placed(F.lit(5), F.lit(9), F.lit(2), F.lit(6), 20, F.lit(True)))) == (5, 9, 13, 17, 5)
+    assert tuple(value(P.placed(F.lit(5), F.lit(9), F.lit(2), F.lit(6), 20, F.lit(False)))) == (5, 9, 2, 6, 5)
+    assert value(P.placed(F.lit(5), F.lit(9), F.lit(-1), F.lit(6), 20, F.lit(False))) is None
+    assert value(T.typed(F.lit('{"a": 3}'), "$.a", "long")) == 3 and value(T.typed(F.lit('{"a": "x"}'), "$.a", "long")) is None
+    with pytest.raises(Exception, match="INVALID_VARIANT_CAST"):
+        value(T.typed(F.lit('{"a": "x"}'), "$.a", "long", strict=True))
+    za = T.za_part(F.lit(True), F.lit(37), F.lit("sp"), F.lit(2), F.lit("4M"), F.lit("4"), F.lit(False))
+    assert value(za) == "<@;37;;sp;2;4M;4>"

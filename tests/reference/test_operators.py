@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import network as N
 from pairloom.operators import stats
-from pairloom.operators.align import Scoring, align_all, aligner
-from pairloom.operators.archive import keep_at_least, merged_rows, proper_pairs, rows_between, sort_by_name
+from pairloom.operators.align import Scoring, align_all, aligner, best_ends
+from pairloom.operators.archive import buffered, keep_at_least, merged_rows, proper_pairs, rows_between, shuffled, sort_by_name, with_group
 from pairloom.operators.select import best_pairs
+from pairloom.operators.truth import attach_pairs
 from pairloom.sources import records
-from pairloom.sources.tables import ALIGNMENT
+from pairloom.sources.tables import ALIGNMENT, write_archive, write_split
 
 
 def smith_waterman(a, b, s):
@@ -52,6 +53,60 @@ def test_alignment_against_the_textbook():
                 assert (i, j - 1, score) == (len(q), got[1], got[0])
 
 
+def column_scores(a, b, match=2, mismatch=2, open_=3, extend=1):
+    """By letter of b the best score of an alignment that ends there, and its first row in a:
+    a row at a time, gaps along b by one running value."""
+    letters = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    m = len(letters)
+    h, e, best, row = np.zeros(m + 1, np.int64), np.full(m + 1, -(10**9)), np.zeros(m, np.int64), np.full(m, -1)
+    places = np.arange(m + 1)
+    for i, c in enumerate(a):
+        e = np.maximum(h - open_, e - extend)
+        t = np.maximum(np.maximum(np.concatenate(([0], h[:-1] + np.where(letters == ord(c), match, -mismatch))), e), 0)
+        t[0] = 0
+        # the best gap that is open at j starts at any k < j: t[k] - open - (j - k - 1) * extend
+        f = np.concatenate(([-(10**9)], np.maximum.accumulate(t + places * extend)[:-1] - open_ - (places[1:] - 1) * extend))
+        h = np.maximum(t, f)
+        h[0] = 0
+        up = h[1:] > best
+        row[up], best[up] = i, h[1:][up]
+    return best, row
+
+
+def test_second_scores_against_the_textbook():
+    r = random.Random(8)
+    s = Scoring(bases=False)
+    queries = ["".join(r.choices("acgt", k=20)) for _ in range(40)]
+    refs = ["".join(r.choices("acgt", k=30)) + q + "".join(r.choices("acgt", k=r.randrange(60))) + q[:15] for q in queries]
+    for q, t, got in zip(queries, refs, align_all(queries, refs, s, None, None, 32_767)):
+        best, row = column_scores(q, t)
+        end = int(np.argmax(best))
+        assert (int(best[end]), end, int(row[end])) == smith_waterman(q, t, s) == got[:3]
+        rest = best.copy()
+        rest[max(0, end - 20) : end + 20] = 0
+        assert got[3:5] == (rest.max(), int(np.argmax(rest)) if rest.max() else -1)
+
+
+def test_windows_round_seeds_give_the_same_ends():
+    r = random.Random(9)
+    s = Scoring(bases=False)
+    queries = ["".join(r.choices("acgt ", k=r.randrange(5, 60))) for _ in range(80)]
+    refs = ["".join(r.choices("acgt ", k=r.randrange(900))) + (q if r.random() < 0.5 else q[:20] + "x" + q[20:]) * r.randrange(3) + "".join(r.choices("acgt ", k=900)) for q in queries]
+    coded = [(i, s.codes(q), s.codes(t)) for i, (q, t) in enumerate(zip(queries, refs))]
+    assert len(best_ends(coded, s)) > 20
+    whole = align_all(queries, refs, s, None, None, 32_767)
+    assert [x[:3] for x in align_all(queries, refs, s, 0, None, 32_767)] == [x[:3] for x in whole]
+
+
+def test_translation_and_one_reference(spark):
+    """Letters w and s as A and C, everything against one reference."""
+    s = Scoring(translation=(("w", 0), ("s", 1)))
+    df = spark.createDataFrame([("wwss",), ("ssww",), ("qqqq",)], "q string").coalesce(1)
+    assert [x[0].score for x in df.select(aligner(s)("q", F.lit("swwssq"))).collect()] == [8, 6, 0]  # ssww: its sww
+    matrix = tuple(5 if i == j and i < 4 else -4 for i in range(5) for j in range(5))
+    assert [x[0].score for x in df.select(aligner(Scoring(matrix=matrix, gap_open=20))(F.lit("ACGT"), F.lit("TACGTA"))).collect()] == [20] * 3
+
+
 def test_alignment_edges(spark):
     df = spark.createDataFrame([("ACGT", "ACGT"), ("ACGT", "NNNN"), ("", "ACG"), (None, "ACG"), ("AAAA", "CCCC"), ("ACGU", "acga")], "q string, r string").coalesce(1)
     got = [tuple(x[0])[:3] for x in df.select(aligner()("q", "r")).collect()]
@@ -170,9 +225,10 @@ def test_training_learns(spark, algorithm, epochs, rate):
 
 
 def test_network_and_training_files(spark, tmp_path):
-    for net in (N.create([3, 4, 2], seed=1), N.create([3, 4, 2], seed=1, rate=0.4)):
+    for net in (N.create([3, 4, 2], seed=1), N.create([3, 4, 2], seed=1, rate=0.4), N.create([3, 2, 4, 1], seed=2, shortcut=True)):
         (tmp_path / "net").write_text(records.network_text(net))
         back = records.load_network(spark, str(tmp_path / "net"))
+        assert back.shortcut == net.shortcut and back.dump() == net.dump() and len(net.dump()) == 1 + len(net.layers) + net.n_connections
         assert back.sizes == net.sizes and np.allclose(back.flat(), net.flat()) and back.n_connections == net.n_connections
         assert np.allclose(records.network_of(records.network_text(net, fixed=True)).flat(), net.flat(), atol=1e-3)
     data = spark.createDataFrame([(i, [i / 2, 1.0], [float(-i)]) for i in range(30)], "row_id long, features array<double>, target array<double>")
@@ -189,3 +245,59 @@ def test_records(spark, tmp_path):
     assert [(r.name, r.flag, r.pos, r.rg, r.zn) for r in rows] == [("r1", 99, 100, "RG:Z:a", None), ("r2", 4, 0, None, None)]
     tagged = records.tagged_lines(records.records(spark, str(tmp_path / "x.sam")).withColumns({"chr": F.when(F.col("name") == "r1", "chr1"), "true_pos": F.when(F.col("name") == "r1", 7)}))
     assert sorted(r.value.rsplit(" ", 1)[1] for r in tagged.collect()) == ["XC:Z:;0", "XC:Z:chr1;7"]
+
+
+def test_truth_of_pairs_in_all_four_cases(spark):
+    """The first record of either side can be mate 1 or mate 2."""
+    gold, test = [], []
+    for case in range(4):
+        g, t = (64, 128) if case & 1 else (128, 64), (64, 128) if case & 2 else (128, 64)
+        gold += [(case, i, g[i], "c", 1000 if g[i] == 64 else 2000) for i in (0, 1)]
+        test += [(case, i, t[i] | 1, "c", 1019 if t[i] == 64 else 2020, 30 + i) for i in (0, 1)]
+    gold += [(9, 0, 64, "c", 1), (9, 1, 128, "c", 2), (10, 0, 64, "c", 1), (10, 1, 128, "c", 2), (11, 0, 64, "c", 1)]
+    test += [(9, 0, 64 | 4, "c", 1, 7), (9, 1, 128, "c", 2, 8), (10, 0, 64, "c", 1, 7), (10, 1, 128 | 4, "c", 2, 8), (11, 0, 64, "c", 1, 1)]
+    gold = spark.createDataFrame(gold, "name long, no int, flag int, chr string, pos long")
+    test = spark.createDataFrame(test, "name long, no int, flag int, chr string, pos long, quality int")
+    got = {(r.name, r.mate): (r.correct, r.counted, r.reported) for r in attach_pairs(gold, test, "name", ["no"], ["no"]).collect()}
+    want = {(c, m): (m == 1, True, True) for c in range(4) for m in (1, 2)}
+    assert got == want | {(9, 1): (True, False, False), (9, 2): (True, False, False), (10, 1): (True, True, False), (10, 2): (True, False, False)}
+
+
+def test_groups_buffers_and_orders(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 8)], "name long, code long")
+    groups = spark.createDataFrame([(7, "a")], "code long, label string")
+    assert with_group(rows.where("code = 7"), groups).first().label == "a"
+    with pytest.raises(Exception, match="no such group: 8"):
+        with_group(rows, groups).collect()
+    assert [r.id for r in buffered(spark.range(9), ["id"], 4).collect()] == [0, 1, 2, 3]
+    order = [r.id for r in shuffled(spark.range(50), "id", 3).collect()]
+    assert sorted(order) == list(range(50)) and order != sorted(order) and order == [r.id for r in shuffled(spark.range(50), "id", 3).collect()]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3 == 0 if i else None) for i in range(10)], "id long, is_special boolean")
+    write_archive(rows.coalesce(1), str(tmp_path / "a"), records_per_file=4)
+    assert len([p for p in (tmp_path / "a").iterdir() if p.name.startswith("part-")]) == 3
+    write_split(rows, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b" / "special=true")).count() == 3 and spark.read.parquet(str(tmp_path / "b")).count() == 10
+    rows = spark.createDataFrame([("LR", 2, 2, 5, 9, "2"), ("LR", 1, 1, 4, 4, "1")], "section string, bin long, x long, n long, cum long, label string")
+    assert [r.value for r in records.report_lines(rows).collect()] == ["LR\t1\t1\t4\t4", "LR\t2\t2\t5\t9"]
+    out = records.generated(spark, 3, lambda i: (F.array(i.cast("double")), F.array((i * 2).cast("double")))).collect()
+    assert [(r.row_id, r.features, r.target) for r in out] == [(i, [float(i)], [2.0 * i]) for i in range(3)]
+
+
+def test_initial_weights_and_scaling(spark):
+    net = N.spread_weights(N.create([4, 50, 3], seed=1), -2.0, 3.0, seed=2)
+    f = (0.7 * 50) ** (1 / 4) / 5
+    for x in net.layers:
+        plain, bias = x.weights[:, :-1], x.weights[:, -1]
+        assert 0 <= plain.min() and plain.max() < f and -f <= bias.min() < 0 < bias.max() < f
+    assert abs(N.randomised(net, -0.3, 0.2).flat()).max() <= 0.3
+    data = spark.createDataFrame([(i, [float(i), 4.0, i * i / 2]) for i in range(20)], "i long, v array<double>")
+    kept = N.scaling(data, "v")
+    there = {r.i: r.s for r in data.select("i", N.scaled(F.col("v"), kept, 0.0, 1.0).alias("s")).collect()}
+    assert {r.i: r.v for r in N.standardised(data, "v", 0.0, 1.0).collect()} == there and there[3][1] is None
+    back = data.select("i", N.unscaled(N.scaled(F.col("v"), kept, 0.0, 1.0), kept, 0.0, 1.0).alias("b")).collect()
+    assert all(np.allclose([r.b[0], r.b[2]], [r.i, r.i * r.i / 2]) for r in back)
+    with pytest.raises(ValueError):
+        N.train(N.create([1, 1], seed=0), spark.range(3).select(F.array(F.col("id").cast("double")).alias("features"), F.array(F.lit(1.0)).alias("target")), N.Training("incremental", epochs=1, sequential_rows=2))
