@@ -50,13 +50,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a saved df that no later result reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that no later result reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
 
 
 def narrow(df: DataFrame, carry: tuple[str, ...] = (), **columns: str) -> DataFrame:

@@ -4,9 +4,9 @@ Every window of `width` bytes has an anchor: its gram of GRAM bytes with the sma
 leftmost if equal.  Equal windows have equal anchors at equal offsets, so it is enough
 to compare windows that share an anchor gram.  The windows of one anchor lie side by
 side and form a segment; segments travel as hashes.  An anchor gram that occurs once is
-unique.  Where all segments of a gram are equal, all their windows repeat.  Only where
-segments differ (at the edges of a repeat) are single windows hashed and counted, once
-for each distinct segment.
+unique, and the windows of a segment that occurs twice all repeat.  Only what remains, the
+segments at the edges of a repeat, travel as bytes, once each, to the others of their gram,
+where their single windows are hashed and compared.
 
 The method named for this operator, merging shard Burrows-Wheeler transforms by interleave
 refinement, is in bwt_merge.py, with figures in the README on why it isn't the query's path.
@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, narrow, release, save, small
+from .buckets import slices
+from .common import discard, narrow, save, small
 
 GRAM = 64
+#: Segments of a gram that one task compares; those of a gram with more meet by their windows.
+SEGMENTS = 10_000
 #: Windows hashed at once; longer texts are taken piece by piece.
 PIECE = 1 << 22
 _MASK = np.uint64((1 << 24) - 1)
@@ -84,33 +87,77 @@ def _raw(text: str | None) -> np.ndarray:
 
 
 def _records(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts, n = [], []
-        for text in batch.column(1).to_pylist():
-            parts.append(segments(_raw(text), width))
-            n.append(len(parts[-1][0]))
-        take = np.repeat(np.arange(len(n)), n)
-        s, e, g, seg = (np.concatenate(x) for x in zip(*parts)) if parts else ((np.empty(0, np.int64),) * 4)
-        yield pa.record_batch([batch.column(0).take(pa.array(take)), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))], names=["own", "s", "more", "gram", "segment"])
+    for batch in slices(batches):
+        parts = [segments(_raw(text), width) for text in batch.column(1).to_pylist()]
+        take = pa.array(np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]))
+        s, e, g, seg = (np.concatenate(x) for x in zip(*parts))
+        yield pa.record_batch([batch.column(0).take(take), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))], names=["own", "s", "more", "gram", "segment"])
+
+
+def _bytes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the listed segments."""
+    for batch in slices(batches, 64):
+        out: list[tuple] = []
+        for own, text, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            raw = _raw(text)
+            out += [(r["gram"], own, r["s"], r["many"], raw[r["s"] : r["s"] + r["more"] + width].tobytes()) for r in rows]
+        kinds = pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()
+        yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["gram", "own", "s", "many", "blob"])
+
+
+def _hashed(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which blob, position in it, hash) of every window of the blobs."""
+    raw = np.frombuffer(b"".join(blobs), np.uint8)
+    sizes = np.array([len(b) for b in blobs])
+    starts = np.cumsum(sizes) - sizes
+    n = sizes - width + 1
+    of = np.repeat(np.arange(len(blobs)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return of, at, _windows(_grams(raw), width)[starts[of] + at]
+
+
+def _shared(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Spans (own, start, end) of windows that another segment of the same gram has, for
+    segments that aren't whole repeats; rows (gram, own, s, many, blob) come sorted by gram."""
+
+    def compared(rows: list[tuple]) -> list[tuple[int, int, int]]:
+        if len(rows) < 2 or all(r[3] for r in rows):
+            return []
+        of, at, h = _hashed([r[4] for r in rows], width)
+        _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+        many = np.array([r[3] for r in rows])
+        hit = np.flatnonzero((n[inverse] > 1) & ~many[of])
+        if not len(hit):
+            return []
+        edge = np.flatnonzero((np.diff(of[hit]) != 0) | (np.diff(at[hit]) > 1))
+        first, last = hit[np.concatenate(([0], edge + 1))], hit[np.concatenate((edge, [len(hit) - 1]))]
+        return [(rows[of[a]][1], rows[of[a]][2] + int(at[a]), rows[of[a]][2] + int(at[b]) + width) for a, b in zip(first.tolist(), last.tolist())]
+
+    def spans(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["own", "start", "end"])
+
+    held: list[tuple] = []
+    for batch in slices(batches, 2048):
+        found = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if held and held[0][0] != row[0]:
+                found += compared(held)
+                held = []
+            held.append(row)
+        yield spans(found)
+    yield spans(compared(held))
 
 
 def _single(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """One row for each window of the listed segments."""
-    for batch in batches:
-        cols: list[list] = [[], [], [], []]
-        for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            raw = _raw(text)
-            for r in rows:
-                n = r["more"] + 1
-                w = _windows(_grams(raw[r["s"] : r["s"] + n - 1 + width]), width)
-                for col, x in zip(cols, (np.full(n, r["segment"]), np.full(n, r["many"]), np.arange(n, dtype=np.int32), w.view(np.int64))):
-                    col.append(x)
-        kinds = np.int64, np.bool_, np.int32, np.int64
-        yield pa.record_batch([pa.array(np.concatenate(c).astype(k) if c else np.empty(0, k)) for c, k in zip(cols, kinds)], names=["segment", "many", "at", "window"])
+    """One row for each window of the segments."""
+    for batch in slices(batches):
+        own, s, many = (np.array(batch.column(i).to_pylist()) for i in (1, 2, 3))
+        of, at, h = _hashed(batch.column(4).to_pylist(), width)
+        yield pa.record_batch([pa.array(own[of], pa.int64()), pa.array(s[of] + at, pa.int32()), pa.array(many[of], pa.bool_()), pa.array(h.view(np.int64))], names=["own", "start", "many", "window"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list] = [[], [], [], []]
         kept_all = []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -138,41 +185,33 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the input and do not cross texts.  Null and shorter texts keep all.  Equal rows are
     occurrences of their own and both lose all they share; null ids stay; an empty table
     gives no rows; other columns are ignored.  Strings are compared by 64-bit hashes under a
-    64-bit anchor hash.
+    64-bit anchor hash.  No group is capped.
     """
     docs = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
     rec = save(docs.select("own", "text").mapInArrow(lambda b: _records(b, width), "own long, s int, more int, gram long, segment long"), "segments")
-    grams = rec.groupBy("gram").agg(F.count("*").alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y"))
-    grams = save(grams.where("n > 1").select("gram", (F.col("x") == F.col("y")).alias("alike")), "grams")
-    again = save(rec.join(grams, "gram"), "repeated")
+    grams = save(rec.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    again = save(rec.join(small(grams), "gram", "left_semi"), "again")
     rec = grams = discard(rec)
 
-    # a segment's hash stands for its gram as well
-    classes = again.where("not alike").groupBy("segment").agg(F.min(F.struct("own", "s", "more")).alias("one"), (F.count("*") > 1).alias("many"))
-    ones = classes.select(F.col("one.own").alias("own"), F.struct("one.s", "one.more", "segment", "many").alias("r"))
-    ones = save(ones.groupBy("own").agg(F.collect_list("r").alias("rows")), "ones")
-    classes = release(docs.sparkSession)
-    held = docs.join(small(save(ones.select("own"), "ids")), "own", "left_semi").dropDuplicates(["own"])
-    single = save(held.join(ones, "own").select("text", "rows").mapInArrow(lambda b: _single(b, width), "segment long, many boolean, at int, window long"), "windows")
-    held = release(docs.sparkSession)
-    found = single.groupBy("window").agg(F.count("*").alias("n"), F.max("many").alias("many"))
-    found = save(found.where("n > 1 or many").select("window"), "found")
-    release(docs.sparkSession)
-    hit = single.join(found, "window").groupBy("segment").agg(F.sort_array(F.collect_list("at")).alias("hit"))
-    hit = save(hit, "hits")
-    single = found = discard(single)
-
-    whole = again.where("alike").select("own", F.struct(F.col("s").alias("start"), (F.col("s") + F.col("more") + width).alias("end")).alias("span"))
-    gaps = F.filter(F.col("hit"), lambda p, i: (i == 0) | (p - F.get("hit", i - 1) > width))
-    # windows side by side become one span
-    ends = F.filter(F.col("hit"), lambda p, i: (i == F.size("hit") - 1) | (F.get("hit", i + 1) - p > width))
-    part = again.where("not alike").join(hit, "segment")
-    part = part.select("own", F.explode(F.zip_with(gaps, ends, lambda a, b: F.struct((F.col("s") + a).alias("start"), (F.col("s") + b + width).alias("end")))).alias("span"))
-    spans = save(whole.unionByName(part).groupBy("own").agg(F.collect_list("span").alias("spans")), "spans")
-    again = part = whole = discard(again)
-    owners = small(save(spans.select("own"), "owners"))
-    touched = docs.join(owners, "own", "left_semi").join(spans, "own", "left").select("doc_id", "text", "spans")
-    clean = docs.join(owners, "own", "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    classes = save(again.groupBy("gram", "segment").agg(F.min(F.struct("own", "s", "more")).alias("one"), (F.count("*") > 1).alias("many")), "classes")
+    edges = classes.groupBy("gram").agg(F.count("*").alias("n"), F.bool_and("many").alias("all")).where("n > 1 and not all")
+    ones = classes.join(edges, "gram").select(F.col("one.own").alias("own"), F.struct("one.s", "one.more", "gram", "many").alias("r"))
+    ones = small(save(ones.groupBy("own").agg(F.collect_set("r").alias("rows")), "ones"))
+    held = docs.join(ones, "own").select("own", "text", "rows")
+    blobs = save(held.mapInArrow(lambda b: _bytes(b, width), "gram long, own long, s int, many boolean, blob binary"), "blobs")
+    hot = small(save(edges.where(F.col("n") > SEGMENTS).select("gram"), "hot"))
+    cold = blobs.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
+    part = cold.mapInArrow(lambda b: _shared(b, width), "own long, start int, end int")
+    if not hot.isEmpty():
+        single = save(blobs.join(hot, "gram", "left_semi").select("gram", "own", "s", "many", "blob").mapInArrow(lambda b: _single(b, width), "own long, start int, many boolean, window long"), "windows")
+        found = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+        part = part.union(single.where("not many").join(found, "window", "left_semi").select("own", "start", F.col("start") + width))
+
+    whole = again.join(classes.where("many").select("gram", "segment"), ["gram", "segment"], "left_semi")
+    whole = whole.select("own", F.col("s").alias("start"), (F.col("s") + F.col("more") + width).alias("end"))
+    spans = save(whole.union(part).groupBy("own").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    again = classes = blobs = discard(again, classes, blobs)
+    rows = docs.join(small(spans), "own", "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return touched.union(clean).mapInArrow(lambda b: _finished(b, with_text), schema)
+    return rows.mapInArrow(lambda b: _finished(b, with_text), schema)

@@ -4,7 +4,8 @@ from collections import Counter
 
 import pytest
 
-from pairloom.llm.substring_dedup import repeated_bytes
+from pairloom.llm import substring_dedup
+from pairloom.llm.substring_dedup import _raw, repeated_bytes, segments
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,5 +51,29 @@ def test_edges_edits_and_periods(spark, seed):
     assert got(repeated_bytes(docs.selectExpr("*", "1 as gram", "2 as spans"))) == brute(rows)
 
 
+def test_hot_gram_by_windows(spark, monkeypatch):
+    """The way of grams with more segments than one task takes gives the same bytes."""
+    monkeypatch.setattr(substring_dedup, "SEGMENTS", 3)
+    r = random.Random(4)
+    core = "".join(r.choice("abcdefgh ") for _ in range(420))
+    rows = [(i, "".join(r.choice("ijkl") for _ in range(90)) + core[: 230 + 15 * (i % 9)] + "".join(r.choice("mnop") for _ in range(90))) for i in range(30)]
+    assert got(repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_text_longer_than_a_piece(spark, monkeypatch):
+    """Windows that reach over the end of a piece."""
+    r = random.Random(6)
+    text = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, text), (2, "x" + text[700:1900] + "y"), (3, text[1500:])]
+    want = brute(rows)
+    for piece in (97, 1000):
+        whole = [segments(_raw(t), 200) for _, t in rows]
+        monkeypatch.setattr(substring_dedup, "PIECE", piece)
+        cut = [segments(_raw(t), 200) for _, t in rows]
+        monkeypatch.setattr(substring_dedup, "PIECE", 1 << 22)
+        assert all({(g, e) for g, e in zip(a[2].tolist(), a[1].tolist())} <= {(g, e) for g, e in zip(b[2].tolist(), b[1].tolist())} for a, b in zip(whole, cut))
+    assert got(repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_empty_table(spark):
     assert repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
