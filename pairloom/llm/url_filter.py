@@ -3,8 +3,8 @@
 Two smoothed variable-order Markov models are counted over all URLs that the rules
 allow and block.  The probability of a character is interpolated over orders 0 to ORDER
 with Witten-Bell weights.  A URL that no rule fits is judged by the difference of
-its log-likelihoods, divided by its length, against a threshold calibrated on the URLs
-with a verdict.
+its log-likelihoods, divided by its length.  The threshold is calibrated on the URLs with
+a verdict, each scored by models that were counted without its half of all names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import narrow, save, small
 
-ORDER = 4
+ORDER, ALPHABET = 4, 256
+#: The calibration counts scores in bins of 1 / STEPS, clipped at +-WIDEST.
+STEPS, WIDEST = 1000, 10.0
 #: Grams with at least this share of all characters are joined apart, by broadcast: 1 / HOT_SHARE of them at most.
 HOT_SHARE = 1e-3
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -45,27 +47,51 @@ def _grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(padded, i, F.lit(ORDER + 1)))
 
 
-def models(grams: DataFrame) -> DataFrame:
-    """From the saved rows (gram, good, bad) of distinct grams, how often each is in accepted and in
-    rejected URLs, the log ratio of the gram's last character: rows (gram, llr).
+def models(grams: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """From rows (gram, and for each kind of model good_<kind> and bad_<kind>, how often the
+    gram is in accepted and in rejected URLs) the log ratio of the gram's last character:
+    rows (gram, llr_<kind> ...).
 
     For each order k the last k characters before it are the context.  A class without
-    any URL gives uniform probabilities."""
-    alphabet = 256.0
-    table = grams.select("gram", "good", "bad", (F.lit(1) / alphabet).alias("p_good"), (F.lit(1) / alphabet).alias("p_bad"))
-    for k in range(ORDER + 1):
-        tail, context = F.substr("gram", F.lit(ORDER + 1 - k)), F.substr("gram", F.lit(ORDER + 1 - k), F.lit(k))
-        tails = grams.groupBy(tail.alias("tail")).agg(F.sum("good").alias("good_n"), F.sum("bad").alias("bad_n")).withColumn("context", F.substr("tail", F.lit(1), F.lit(k)))
-        contexts = tails.groupBy("context").agg(*[f(n).alias(o) for n in ("good", "bad") for f, o in ((lambda n: F.sum(f"{n}_n"), f"{n}_all"), (lambda n: F.count_if(F.col(f"{n}_n") > 0), f"{n}_kinds"))])
-        tails, contexts = save(tails.drop("context"), "tails"), save(contexts, "contexts")
-        table = table.withColumn("tail", tail).withColumn("context", context).join(tails, "tail").join(contexts, "context")
-        for n in ("good", "bad"):
-            kinds, whole = F.col(f"{n}_kinds"), F.col(f"{n}_all")
-            smooth = (F.col(f"{n}_n") + kinds * F.col(f"p_{n}")) / (whole + kinds)
-            table = table.withColumn(f"p_{n}", F.when(whole > 0, smooth).otherwise(F.col(f"p_{n}")))
-        table = table.select("gram", "p_good", "p_bad")
-        table = save(table, "orders")
-    return table.select("gram", (F.log("p_good") - F.log("p_bad")).alias("llr"))
+    any URL gives uniform probabilities.  All orders are counted and joined at once."""
+    sides = [f"{side}_{kind}" for kind in kinds for side in ("good", "bad")]
+    tails_of = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.substr("gram", F.lit(ORDER + 1 - k)).alias("tail")) for k in range(ORDER + 1)])).alias("t")
+    tails = grams.select(*sides, tails_of).groupBy("t.k", "t.tail").agg(*[F.sum(s).alias(s) for s in sides])
+    tails = save(tails.withColumn("context", F.substr("tail", F.lit(1), F.col("k"))), "tails")
+    contexts = tails.groupBy("k", "context").agg(*[f(s).alias(f"{s}_{o}") for s in sides for o, f in (("all", F.sum), ("kinds", lambda s: F.count_if(F.col(s) > 0)))])
+    known = tails.join(contexts, ["k", "context"])
+    known = save(known.select("k", "tail", *[F.struct(F.col(s).alias("n"), F.col(f"{s}_all").alias("all"), F.col(f"{s}_kinds").alias("kinds")).alias(s) for s in sides]), "known")
+    steps = grams.select("gram", tails_of).select("gram", "t.*").join(known, ["k", "tail"])
+    steps = steps.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", *sides))).alias("steps"))  # one for each order
+
+    def chance(side: str) -> Column:
+        smooth = lambda p, x: F.when(x["all"] > 0, (x["n"] + x["kinds"] * p) / (x["all"] + x["kinds"])).otherwise(p)
+        return F.log(F.aggregate("steps", F.lit(1 / ALPHABET), lambda p, x: smooth(p, x[side])))
+
+    return steps.select("gram", *[(chance(f"good_{kind}") - chance(f"bad_{kind}")).alias(f"llr_{kind}") for kind in kinds])
+
+
+def threshold_of(counts: list[tuple[int, str, int]]) -> float | None:
+    """From (score in STEPS of a whole, verdict, pages) the score at which the shares of
+    allowed pages below and of blocked pages from there on are least together, the middle one
+    if there are several; None where a class is empty."""
+    totals = {v: sum(n for _, w, n in counts if w == v) for v in ("allow", "block")}
+    if not all(totals.values()):
+        return None
+    by: dict[int, dict[str, int]] = {}
+    for at, verdict, n in counts:
+        by.setdefault(at, {"allow": 0, "block": 0})[verdict] += n
+    below = {"allow": 0, "block": 0}
+    errors = []
+    for at in sorted(by):
+        errors.append((below["allow"] / totals["allow"] + 1 - below["block"] / totals["block"], at))
+        for v, n in by[at].items():
+            below[v] += n
+    errors.append((1.0, max(by) + 1))
+    least = min(e for e, _ in errors)
+    first = next(i for i, (e, _) in enumerate(errors) if e == least)
+    low = errors[first - 1][1] + 1 if first else errors[0][1]
+    return (low + errors[first][1]) / 2 / STEPS
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:
@@ -74,11 +100,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host and path are empty for a null url or one without "://".  rule is the longest rule
     that fits, such as "net/", else null, and its verdict holds.  Else the method's: score is
     the mean log-likelihood ratio of the host and path's characters between the models of
-    allowed and blocked URLs; `allow` from the threshold on.  The threshold is the midpoint
-    of the two classes' mean scores, over all URLs with a rule, each scored without its own
-    counts' class prior.  Where either class is empty, and for an empty host and path, the
-    verdict is allow.  Equal URLs get equal rows; null ids stay; other columns are ignored.
+    allowed and blocked URLs; `allow` from the threshold on.  The threshold is that with the
+    least sum of both classes' shares of wrong verdicts over all pages with a rule, whose
+    scores come from models of the other half of the names.  Where either class is empty, and
+    for an empty host and path, the verdict is allow.  Equal URLs get equal rows; null ids
+    stay; an empty table gives no rows; other columns are ignored.
     """
+    spark = pages.sparkSession
     pages = narrow(pages, page_id=id_col, url=url_col)
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -86,20 +114,29 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     keyed = parts.select("page_id", "host", "path", "rule", "ruled", F.concat("host", "path").alias("name"))
     # a name is scored once, however many pages have it
     names = save(keyed.groupBy("name", "ruled").agg(F.count("*").alias("n")), "names")
-    spelled = names.where("name <> ''").select("name", "ruled", "n", F.explode(_grams(F.col("name"))).alias("gram"))
-    grams = spelled.groupBy("gram").agg(F.count("*").alias("uses"), F.sum(F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("ruled") == "block", F.col("n")).otherwise(0)).alias("bad"))
-    grams = save(grams, "grams")
-    ratios = save(models(grams.select("gram", "good", "bad")).join(grams.select("gram", "uses"), "gram"), "ratios")
+    half = F.pmod(F.xxhash64("name"), F.lit(2))
+    # short rows that become long: as many partitions as a shuffle has, however small the names are
+    own = names.where("name <> ''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    spelled = own.select("name", half.alias("half"), "ruled", "n", F.explode(_grams(F.col("name"))).alias("gram"))
+    uses = lambda v, on: F.sum(F.when((F.col("ruled") == v) & on, F.col("n")).otherwise(0))
+    # the models of half 0 are counted over half 1, and the other way round
+    kinds = {"all": F.lit(True), "0": F.col("half") == 1, "1": F.col("half") == 0}
+    counted = [uses(v, on).alias(f"{side}_{kind}") for kind, on in kinds.items() for side, v in (("good", "allow"), ("bad", "block"))]
+    grams = save(spelled.groupBy("gram").agg(F.count("*").alias("uses"), *counted), "grams")
+    ratios = save(models(grams, tuple(kinds)).join(grams.select("gram", "uses"), "gram"), "ratios")
     total = grams.agg(F.sum("uses")).first()[0] or 0
     is_hot = F.col("uses") >= HOT_SHARE * total
-    hot = ratios.where(is_hot).select("gram", F.col("llr").alias("hot_llr"))
-    cold = ratios.where(~is_hot).select("gram", "llr")
-    ready = save(spelled.select("name", "gram").join(F.broadcast(hot), "gram", "left"), "spelled")
-    value = ready.where("hot_llr is not null").select("name", F.col("hot_llr").alias("llr"))
-    value = value.unionByName(ready.where("hot_llr is null").join(cold, "gram").select("name", "llr"))
-    scores = save(value.groupBy("name").agg(F.avg("llr").alias("score")), "scores")
-    means = {r.ruled: r.m for r in names.where("ruled is not null").join(scores, "name").groupBy("ruled").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("m")).collect()}
-    threshold = (means["allow"] + means["block"]) / 2 if len(means) == 2 else None
+    values = ["llr_all", "llr_0", "llr_1"]
+    hot = ratios.where(is_hot).select("gram", F.struct(*values).alias("hot"))
+    cold = small(save(ratios.where(~is_hot).select("gram", *values), "cold"))
+    ready = spelled.select("name", "half", "gram").join(F.broadcast(hot), "gram", "left")
+    value = ready.where("hot is not null").select("name", "half", "hot.*")
+    value = value.unionByName(ready.where("hot is null").join(cold, "gram").select("name", "half", *values))
+    held_out = F.avg(F.when(F.col("half") == 0, F.col("llr_0")).otherwise(F.col("llr_1")))
+    scores = save(value.groupBy("name").agg(F.avg("llr_all").alias("score"), held_out.alias("held")), "scores")
+    bins = F.floor(F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), F.col("held"))) * STEPS)
+    counts = names.where("ruled is not null").join(scores, "name").groupBy(bins.alias("at"), "ruled").agg(F.sum("n").alias("n"))
+    threshold = threshold_of([(r["at"], r.ruled, r.n) for r in counts.collect()])  # 2 * WIDEST * STEPS bins a class at most
     method = F.when(F.col("score") < threshold, "block").otherwise("allow") if threshold is not None else F.lit("allow")
-    out = keyed.join(small(scores), "name", "left")
+    out = keyed.join(small(scores.select("name", "score")), "name", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.round("score", 9).alias("score"))
