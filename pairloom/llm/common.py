@@ -31,16 +31,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, name: str):
+    """A path and its file system, as the JVM has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder below the shared one; it goes when the application ends."""
+    path, files = _path(spark, f"{shared_root(spark)}/pairloom-{uuid.uuid4().hex}")
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write df below the shared folder and read it back.  This cuts the lineage
-    and survives lost executors; the folder goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/pairloom-{uuid.uuid4().hex}/{tag}"
+    """Write df to a folder of its own and read it back.  This cuts the lineage and
+    survives lost executors."""
+    path = f"{folder(df.sparkSession)}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(parent)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -53,9 +62,9 @@ def release(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete the files of saved tables that no later result reads."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path, files = _path(df.sparkSession, name)
+            files.delete(path, True)
     release(tables[0].sparkSession)
 
 

@@ -48,10 +48,13 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 
 def _table(shingles: DataFrame) -> np.ndarray:
-    """A table of 2^TABLE_BITS flags; at most so many slot numbers reach the driver."""
+    """A table of 2^TABLE_BITS flags; it reaches the driver as one bitmap a 32,768 of them."""
+    slot = F.shiftrightunsigned("hash", 64 - TABLE_BITS) + 1  # bitmaps count from 1
+    maps = shingles.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     table = np.zeros(1 << TABLE_BITS, np.bool_)
-    slots = shingles.select(F.shiftrightunsigned("hash", 64 - TABLE_BITS).alias("slot")).distinct()
-    table[[r.slot for r in slots.toLocalIterator()]] = True
+    for r in maps.collect():
+        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").view(np.bool_)
+        table[(r.bucket - 1) * len(bits) : r.bucket * len(bits)] = bits
     return table
 
 

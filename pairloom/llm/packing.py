@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, save
+from .common import narrow, save, small
 from .cutting_stock import column_generation, knapsack
 from .tokenize import encoder
 
@@ -174,6 +174,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     ranks = counts.select("part", "rest", F.coalesce(F.sum("n").over(before.partitionBy("rest")), F.lit(0)).alias("ranked"))
     # one row for each part, that is for each task that cut documents
     full = counts.groupBy("part").agg(F.sum("full").alias("full")).select("part", F.coalesce(F.sum("full").over(before), F.lit(0)).alias("placed"))
-    placed = cut.join(ranks, ["part", "rest"]).join(F.broadcast(full), "part")
+    placed = cut.join(small(save(ranks, "ranks")), ["part", "rest"]).join(small(save(full, "fulls")), "part")
     placed = placed.select("doc_id", "doc_tokens", F.col("placed") + F.col("fulls"), "full_crcs", "rest", F.col("ranked") + F.col("rank"), "rest_crc", "small_crcs")
     return placed.mapInArrow(lambda b: _assigned(b, plan, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -91,3 +91,12 @@ def decode(words: np.ndarray) -> np.ndarray:
     if len(at := np.flatnonzero(selector == ESCAPE)):
         out[starts[at]] = words[head[at] + 1]
     return out
+
+
+def decode_range(words: np.ndarray, first: np.ndarray, start: int, n: int) -> np.ndarray:
+    """The n ids from start on, by the words of the blocks that hold them alone."""
+    if not n:
+        return np.empty(0, np.uint64)
+    low, high = start // BLOCK, (start + n - 1) // BLOCK + 1
+    ids = decode(words[first[low] : first[high] if high < len(first) else len(words)])
+    return ids[start - low * BLOCK : start - low * BLOCK + n]

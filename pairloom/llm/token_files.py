@@ -8,7 +8,6 @@ to give every document its place among all ids.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import narrow, shared_root
+from .common import folder, narrow, save, small
 from .tokenize import encoder
 
 RUN_IDS = 1 << 18
@@ -67,36 +66,47 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     runs.write.option("compression", "none").parquet(path)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch], with_ids: bool, wanted: frozenset[int] | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for base, before, docs, lengths, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            ids = simple8b.decode(np.frombuffer(words, "<u8")).astype("<u4")
+        for base, before, docs, lengths, first, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
             lengths = np.array(lengths, np.int64)
             ends = np.cumsum(lengths)
-            columns = [pa.array(docs, pa.int64()), pa.array(base + before + ends - lengths), pa.array(lengths)]
-            raw = ids.tobytes()
-            columns.append(pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())], pa.int64()))
+            starts, words, first = ends - lengths, np.frombuffer(words, "<u8"), np.array(first, np.int64)
+            if wanted is None:
+                at = np.arange(len(docs))
+                ids = simple8b.decode(words).astype("<u4")
+                parts = np.split(ids, ends[:-1]) if len(docs) else []
+            else:  # only the blocks of the wanted documents
+                at = np.flatnonzero([d in wanted for d in docs])
+                parts = [simple8b.decode_range(words, first, int(starts[i]), int(lengths[i])).astype("<u4") for i in at]
+            columns = [pa.array([docs[i] for i in at], pa.int64()), pa.array(base + before + starts[at]), pa.array(lengths[at])]
+            columns.append(pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()))
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int64))))
+                columns.append(pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64())))
             yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True, doc_ids: list[int] | None = None) -> DataFrame:
     """One row a document: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 (of the ids as little-endian 32-bit integers) and, if asked for, ids."""
+    ids_crc32 (of the ids as little-endian 32-bit integers) and, if asked for, ids.  With
+    doc_ids only these documents, of which only the runs and blocks that hold them are read."""
     runs = spark.read.schema(FILE).parquet(path)
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     sums = runs.select("part", total.alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     # one row for each part, that is for each file
     base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = runs.join(F.broadcast(sums.select("part", base.alias("base"))), "part")
+    sums = small(save(sums.select("part", base.alias("base")), "parts"))
+    wanted = None if doc_ids is None else frozenset(doc_ids)
+    if wanted is not None:
+        runs = runs.where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, sorted(wanted))).cast("array<long>")))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return placed.select("base", "before", "doc_ids", "lengths", "words").mapInArrow(lambda b: _documents(b, with_ids), schema)
+    placed = runs.join(sums, "part").select("base", "before", "doc_ids", "lengths", "first_words", "words")
+    return placed.mapInArrow(lambda b: _documents(b, with_ids, wanted), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """What read_tokens gives, without ids, of files written to the shared folder."""
     spark = docs.sparkSession
-    path = f"{shared_root(spark)}/pairloom-{uuid.uuid4().hex}/tokens"
+    path = f"{folder(spark)}/tokens"
     write_tokens(docs, path, tokenizer, end_id)
     return read_tokens(spark, path, with_ids=False)

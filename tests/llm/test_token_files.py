@@ -74,3 +74,21 @@ def test_nulls_repeats_clashes_and_empty(spark, tmp_path):
     assert [r[:4] for r in out] == expected([(None, "x"), (2, None), (3, ""), (5, "b"), (5, "b"), (9, "word " * 300_000)], WORD)
     assert all(zlib.crc32(np.array(r[4], "<u4").tobytes()) == r[3] and len(r[4]) == r[2] for r in out)
     assert round_trip(docs.limit(0), WORD).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 2**64 - 1)), min_size=1, max_size=60), st.integers(0, 20_000), st.integers(0, 9_000))
+def test_ranges_by_block_offsets(some, start, n):
+    ids = np.array((some * (20_000 // len(some) + 1))[:20_000], np.uint64)
+    words, first = simple8b.encode(ids)
+    n = min(n, len(ids) - start)
+    assert np.array_equal(simple8b.decode_range(words, first, start, n), ids[start : start + n])
+
+
+def test_some_documents_by_their_blocks(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = (tmp_path / "tokens").as_uri()
+    write_tokens(docs, path, BYTE)
+    whole = {r.doc_id: tuple(r) for r in read_tokens(spark, path).collect()}
+    some = sorted(whole)[::17] + [10**9]
+    assert {r.doc_id: tuple(r) for r in read_tokens(spark, path, doc_ids=some).collect()} == {d: whole[d] for d in some if d in whole}
