@@ -191,16 +191,16 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
     rec = save(docs.select("own", "text").mapInArrow(lambda b: _records(b, width), "own long, s int, more int, gram long, segment long"), "segments")
     grams = save(rec.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    again = save(rec.join(small(grams), "gram", "left_semi"), "again")
+    again = save(rec.join(grams, "gram", "left_semi"), "again")
     rec = grams = discard(rec)
 
     classes = save(again.groupBy("gram", "segment").agg(F.min(F.struct("own", "s", "more")).alias("one"), (F.count("*") > 1).alias("many")), "classes")
     edges = classes.groupBy("gram").agg(F.count("*").alias("n"), F.bool_and("many").alias("all")).where("n > 1 and not all")
     ones = classes.join(edges, "gram").select(F.col("one.own").alias("own"), F.struct("one.s", "one.more", "gram", "many").alias("r"))
-    ones = small(save(ones.groupBy("own").agg(F.collect_set("r").alias("rows")), "ones"))
+    ones = ones.groupBy("own").agg(F.collect_set("r").alias("rows"))
     held = docs.join(ones, "own").select("own", "text", "rows")
     blobs = save(held.mapInArrow(lambda b: _bytes(b, width), "gram long, own long, s int, many boolean, blob binary"), "blobs")
-    hot = small(save(edges.where(F.col("n") > SEGMENTS).select("gram"), "hot"))
+    hot = small(save(edges.where(F.col("n") > SEGMENTS).select("gram"), "hot"))  # one a SEGMENTS segments at most
     cold = blobs.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     part = cold.mapInArrow(lambda b: _shared(b, width), "own long, start int, end int")
     if not hot.isEmpty():
@@ -212,6 +212,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = whole.select("own", F.col("s").alias("start"), (F.col("s") + F.col("more") + width).alias("end"))
     spans = save(whole.union(part).groupBy("own").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     again = classes = blobs = discard(again, classes, blobs)
-    rows = docs.join(small(spans), "own", "left").select("doc_id", "text", "spans")
+    rows = docs.join(spans, "own", "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return rows.mapInArrow(lambda b: _finished(b, with_text), schema)
