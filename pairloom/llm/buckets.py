@@ -100,6 +100,7 @@ def _across(blobs: DataFrame, rest: DataFrame, prepare: Prepare) -> DataFrame:
     sized = save(rest.join(blobs.select(F.col("id").alias("rep"), F.length("blob").alias("size")).groupBy("rep").agg(F.sum("size").alias("size")), "rep"), "sized")
     parts = sized.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("key")
     parts = parts.agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.sum("size").alias("all"), (F.sum("size") - F.max_by("size", F.struct("n", "part"))).alias("minor"))
+    parts = save(parts, "shares")
     rows = sized.join(parts, "key")
     blocks = lambda n: F.ceil((F.col(n) + 1) / BLOCK).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
@@ -120,6 +121,7 @@ def grouped(met: DataFrame, blobs: DataFrame, prepare: Prepare, known: DataFrame
     there may be several versions."""
     order = lambda i: F.xxhash64("rep", F.lit(i))
     leads = met.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), *[F.min(F.struct(order(i).alias("h"), "rep")).alias(f"lead{i}") for i in (1, 2)])
+    leads = save(leads, "leads")  # a table, here and below, so that the join can split a hot bucket
     random = lambda i: F.min(F.when(F.col("n") > LARGE, F.col(f"lead{i}")))
     stars = met.join(leads, "key").groupBy("rep").agg(F.min("lead").alias("lead"), random(1).alias("lead1"), random(2).alias("lead2"))
     stars = stars.select(F.explode(F.array("lead", "lead1.rep", "lead2.rep")).alias("a"), F.col("rep").alias("b")).where("a <> b")
@@ -127,6 +129,7 @@ def grouped(met: DataFrame, blobs: DataFrame, prepare: Prepare, known: DataFrame
     found = components(links.union(known) if known is not None else links)
     named = met.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     split = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    split = save(split, "split")
     rest = save(named.join(split, "key"), "rest")
     if rest.isEmpty():
         return found

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which a saved table is broadcast; beyond them the join is shuffled.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 32_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

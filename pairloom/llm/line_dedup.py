@@ -209,10 +209,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = save(docs.mapInArrow(_lines, "doc_id long, own long, no int, line long"), "lines")
 
     index = save(texts.mapInArrow(lambda b: _keys(b, least, edits, True), "key long, rep long").distinct(), "index")
-    keys = index.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y"))
+    keys = save(index.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")), "keys")  # a table, so that the join can split a hot key
     probe = texts.mapInArrow(lambda b: _keys(b, least, edits, False), "key long, rep long")
     hits = save(probe.join(keys, "key").where("x <> y or x <> rep").select("key", "rep").distinct(), "hits")
-    met = save(hits.union(index.join(hits.select("key").distinct(), "key", "left_semi")).distinct(), "met")
+    met = save(hits.union(index.join(save(hits.select("key").distinct(), "shared"), "key", "left_semi")).distinct(), "met")
 
     needed = small(save(met.select(F.col("rep").alias("id")).distinct(), "needed"))
     blobs = texts.mapInArrow(lambda b: _texts(b, least), "id long, blob binary").join(needed, "id", "left_semi")

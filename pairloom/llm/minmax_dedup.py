@@ -120,7 +120,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = usable.join(small(copies.select("doc_id", "lo", "hi")), ["doc_id", "lo", "hi"], "left_anti")
     banded = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key")
-    met = save(banded.join(buckets, "key"), "met")
+    met = save(banded.join(save(buckets, "buckets"), "key"), "met")
     ids = small(save(met.select(F.col("rep").alias("id")).distinct(), "ids"))
     sets = save(docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(lambda b: _sets(b, k), "id long, blob binary"), "sets")
     found = grouped(met, sets, lambda targets: _alike(targets, percent), known=same)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import slices
-from .common import narrow, save, small
+from .common import narrow, save
 
 #: A sentence ends with these and the white space after them, or with a line feed.
 BOUNDARY = re.compile(r"(?<=[.!?])[ \t\r]+|\n")
@@ -152,12 +152,13 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
     firsts = docs.mapInArrow(lambda b: _spans(b, width, min_words, False), "h0 long")
-    maybe = small(save(firsts.groupBy("h0").count().where("count > 1").select("h0"), "maybe"))
+    maybe = save(firsts.groupBy("h0").count().where("count > 1").select("h0"), "maybe")
     spans = docs.mapInArrow(lambda b: _spans(b, width, min_words, True), "doc_id long, own long, run long, h0 long, h1 long")
     spans = save(spans.join(maybe, "h0", "left_semi"), "spans")
     place = F.struct("doc_id", "own", "run")
-    seen = spans.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h0", "h1", "first")
+    seen = spans.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    seen = save(seen.select("h0", "h1", "first"), "repeated")  # a table, so that the join can split a hot run
     again = spans.join(seen, ["h0", "h1"]).where(~place.eqNullSafe(F.col("first")))
     hit = again.groupBy(F.col("doc_id").alias("of"), F.col("own").alias("of_own")).agg(F.collect_set("run").alias("hit"))
-    rows = docs.join(small(save(hit, "hits")), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "hit")
+    rows = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "hit")
     return rows.mapInArrow(lambda b: _cut(b, min_words), "doc_id long, n_sentences long, n_removed long, removed array<int>, kept_text string")
