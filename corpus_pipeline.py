@@ -2,19 +2,18 @@
 dedup, benchmark decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last
-return the columns of documents.  Nulls, empty tables and extra columns are handled as
-the operators' docstrings say; extra columns are dropped.
+return the columns of documents.  Columns that docs has besides these are dropped,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import documents, save, shared_root, small
+from pairloom.llm.common import discard, documents, folder, save, small
 from pairloom.llm.decontaminate import contained_items
 from pairloom.llm.line_dedup import deduplicated
 from pairloom.llm.minmax_dedup import near_groups
@@ -28,7 +27,8 @@ _NOT = "of"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak supervision of quality rules keeps; rejected ones go.
-    Every row is judged on its own text; null and empty texts go."""
+    Every row is judged on its own text; null, empty and blank texts go; rows that repeat a
+    doc_id or text are judged alike and all stay or go; null ids stay."""
     return judged(docs, carry=COLUMNS[1:]).where("kept").select("doc_id", "carried.*")
 
 
@@ -39,9 +39,11 @@ def _without_lines(docs: DataFrame, most: float) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat within two edits elsewhere before them;
-    n_chars follows a changed text.  A text of mostly repeated lines is left to the next
-    stage, which drops it as a near duplicate or removes its lines."""
+    """All documents, without lines that repeat before them: equal ones, and for lines of 20
+    characters or more those within two edits.  n_chars follows a changed text.  A text whose
+    repeated lines hold over half of its characters is left to the next stage, which drops
+    it as a near duplicate or removes its lines.  Null and empty texts stay; rows that repeat a
+    doc_id and text are one document; a null id comes first."""
     return _without_lines(docs, 0.5)
 
 
@@ -62,7 +64,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of every benchmark item's five-word shingles."""
+    """Documents that hold less than 0.8 of every benchmark item's five-word shingles; all
+    rows of a doc_id go together, those without one as well.  Null and empty texts and, with an
+    empty benchmark, all documents stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = docs.select(*COLUMNS)
     found = save(contained_items(docs, items, k=5, percent=80).select(F.col("doc_id").alias(_NOT)).distinct(), "leaks")
@@ -70,7 +74,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens, as pack returns them."""
+    """The pieces of all documents in sequences of 1024 tokens, as pack returns them; every row
+    is a document, a null or empty text the end id alone."""
     return pack(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
@@ -87,10 +92,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read back."""
-    docs, root = documents(spark, sf_dir), f"{shared_root(spark)}/pairloom-pipeline-{uuid.uuid4().hex}"
+    """The stages applied to documents, each written to the shared folder and read back; what
+    a stage leaves is deleted when the next one is written, the last when the application ends."""
+    docs, before = documents(spark, sf_dir), None
     for at, (name, stage) in enumerate(STAGES):
-        path = f"{root}/{at}_{name}"
+        path = f"{folder(spark)}/{at}_{name}"
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            discard(before)
+        docs = before = spark.read.parquet(path)
     return docs
