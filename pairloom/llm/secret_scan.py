@@ -26,6 +26,7 @@ _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvw
 #: Tried in turn: pattern, alphabet.
 ENCODINGS = ((r"^[0-9a-f]+$", _DIGITS + "abcdef"), (r"^[0-9A-F]+$", _DIGITS + "ABCDEF"), (r"^[A-Z2-7]+=*$", _UPPER + "234567"), (r"^[a-z0-9]+$", _LOWER + _DIGITS), (r"^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS), (r"^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"), (r"", _UPPER + _LOWER + _DIGITS + "+/"))
 BINS, FALSE_SHARE = 20, 0.05
+CHUNK = 256
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -35,10 +36,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _found(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
     """Spans (start, kind, end) in code points of the matches that `keep` holds for.  The
-    matches and what stands between them give the places."""
+    matches and what stands between them give the places.  Matches are taken CHUNK by CHUNK,
+    as a fold that appends to an array copies it at each step."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.transform(hits, lambda h, i: F.struct(h.alias("h"), F.length(F.get(gaps, i)).alias("gap")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    empty = F.array().cast(_SPAN)
+    chunked = lambda h, g: F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / CHUNK).cast("int")), lambda c: F.zip_with(F.slice(h, c * CHUNK + 1, CHUNK), F.slice(g, c * CHUNK + 1, F.least(F.lit(CHUNK), F.size(h) - c * CHUNK)), lambda x, y: F.struct(x.alias("h"), F.length(y).alias("gap"))))
 
     def step(a: Column, x: Column) -> Column:
         start, end = a["at"] + x["gap"], a["at"] + x["gap"] + F.length(x["h"])
@@ -46,7 +48,18 @@ def _found(text: Column, pattern: str, kind: int, keep: Callable[[Column], Colum
         out = F.array_append(a["out"], span)
         return F.struct(end.alias("at"), (F.when(keep(x["h"]), out).otherwise(a["out"]) if keep else out).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    def bases(chunks: Column) -> Column:
+        """Where each chunk begins."""
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["h"]))
+        return F.aggregate(chunks, zero, lambda a, c: F.struct((a["at"] + total(c)).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def spans(chunks: Column) -> Column:
+        own = lambda c, base: F.aggregate(c, F.struct(base.alias("at"), empty.alias("out")), step, lambda a: a["out"])
+        return F.flatten(F.zip_with(chunks, bases(chunks), own))
+
+    both = F.struct(hits.alias("h"), gaps.alias("g"))
+    return F.when(text.rlike(pattern), let(let(both, lambda b: chunked(b["h"], b["g"])), spans)).otherwise(empty)
 
 
 def _tail(z: Column) -> Column:

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -48,6 +50,56 @@ def test_odd_texts(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """More than a few chunks of them, and equal rows."""
+    r = random.Random(7)
+    text = " ".join(r.choice(("password=abcdef", "token: x", "AKIA" + "Q" * 17, "ab12" * 6, "word", "é")) for _ in range(3000))
+    rows = [(1, text), (2, "x"), (3, text)]
+    out = digest(scan(spark.createDataFrame([*rows, (3, text)], "doc_id long, text string"))).collect()
+    check(rows, {x.doc_id: x for x in out}.values())
+    assert len(out) == 4 and len({tuple(x) for x in out if x.doc_id == 3}) == 1
+
+
+def values(token):
+    """The three tests of the battery by hand, and their combination."""
+    classes = ((r"[0-9a-f]+", "0123456789abcdef"), (r"[0-9A-F]+", "0123456789ABCDEF"), (r"[A-Z2-7]+=*", string.ascii_uppercase + "234567"), (r"[a-z0-9]+", string.ascii_lowercase + string.digits), (r"[A-Za-z0-9]+", string.ascii_uppercase + string.ascii_lowercase + string.digits), (r"[A-Za-z0-9_-]+=*", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"), (".*", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"))
+    alphabet = next(a for p, a in classes if re.fullmatch(p, token))
+    v = [alphabet.index(c) + 1 if c in alphabet else 0 for c in token.rstrip("=")]
+    n, m = len(v), len(alphabet)
+    tail = lambda z: 1 / (1 + math.exp(min(40, max(-40, 1.5976 * z + 0.07056 * z**3))))
+    chi = m / n * sum(k * k for k in Counter(v).values()) - n
+    high = [2 * a > m + 1 for a in v]
+    mean = 2 * sum(high) * (n - sum(high)) / n + 1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    z2 = abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-6))
+    spread = max(sum(a * a for a in v) - sum(v) ** 2 / n, 1e-6)
+    z3 = abs(sum(a * b for a, b in zip(v, v[1:])) - sum(v) ** 2 / n) / spread * math.sqrt(n)
+    p = [max(tail((chi - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)), 1e-15), *(max(min(2 * tail(z), 1.0), 1e-15) for z in (z2, z3))]
+    half = -sum(map(math.log, p))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_random_spans_against_brute_force(spark):
+    """All tokens without a base span, in bins of the battery's value by length class."""
+    r = random.Random(11)
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    sets = (string.ascii_letters + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "-_", "aeiou1", "0123456789ABCDEF")
+    rows += [(10_000 + i, " ".join(["key", "".join(r.choice(sets[i % 5]) for _ in range(r.randrange(20, 90))), "and", "ab1" * r.randrange(7, 20), "=" * (i % 2)])) for i in range(400)]
+    tried, counts = {}, {}
+    for doc, text in rows:
+        known = base(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, _, b in known):
+                key = int(math.log2(len(m[0]))), min(19, int(values(m[0]) * 20))
+                tried.setdefault(doc, []).append((m.start(), m.end(), key))
+                counts[key] = counts.get(key, 0) + 1
+    least = {size: threshold([counts.get((size, b), 0) for b in range(20)]) for size, _ in counts}
+    want = {(doc, a, b) for doc, found in tried.items() for a, b, (size, at) in found if at >= least[size]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end) for r in scan(docs).collect() for s in r.spans if s.kind == 3}
+    assert tried and got == want
+
+
 def test_battery_tells_random_from_regular(spark):
     r = random.Random(5)
     alphabet = string.ascii_letters + string.digits
