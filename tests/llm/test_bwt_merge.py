@@ -1,5 +1,4 @@
 import random
-import time
 from collections import Counter
 
 from pairloom.llm.bwt_merge import build, intervals, merge, repeated_places
