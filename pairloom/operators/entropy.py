@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 def byte_entropy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, entropy in bits, n_tokens, max_entropy, ratio (null for one symbol), a row a text.
-    Null and empty texts have entropy 0.  Bytes are counted within the row, one of the 256
-    values after the other, so nothing is exploded or shuffled."""
+    Null and empty texts have entropy 0.  The bytes are sorted within the row, and the lengths
+    of the runs of equal ones are their counts, so nothing is exploded or shuffled."""
     one = F.decode(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"), "ISO-8859-1")  # a character a byte
-    count = lambda b: F.length("bytes") - F.length(F.replace("bytes", F.chr(b), F.lit("")))
-    counts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(255)), count), lambda n: n > 0)
-    rows = docs.select(id_col, one.alias("bytes")).select(id_col, F.length("bytes").alias("total"), F.array_sort(counts).alias("counts"))
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(one, r"(?!^)(?!\z)")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    counts = F.transform(runs, F.length)
+    rows = docs.select(id_col, F.array_sort(counts).alias("counts"))
+    rows = rows.withColumn("total", F.aggregate("counts", F.lit(0), lambda a, n: a + n))
     plogp = F.aggregate("counts", F.lit(0.0), lambda a, n: a + n * F.log2(n))
     entropy = F.when(F.col("total") > 0, F.log2("total") - plogp / F.col("total")).otherwise(0.0)
     kinds = F.size("counts").cast("long")

@@ -56,5 +56,6 @@ def test_values_of_functions(spark):
     assert value(T.typed(F.lit('{"a": 3}'), "$.a", "long")) == 3 and value(T.typed(F.lit('{"a": "x"}'), "$.a", "long")) is None
     with pytest.raises(Exception, match="INVALID_VARIANT_CAST"):
         value(T.typed(F.lit('{"a": "x"}'), "$.a", "long", strict=True))
+    assert tuple(value(T.unpack_operation(T.pack_operation(F.lit("D"), F.lit(300))))) == ("D", 300)
     za = T.za_part(F.lit(True), F.lit(37), F.lit("sp"), F.lit(2), F.lit("4M"), F.lit("4"), F.lit(False))
     assert value(za) == "<@;37;;sp;2;4M;4>"
