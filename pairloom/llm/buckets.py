@@ -95,14 +95,16 @@ def _compared(batches: Iterator[pa.RecordBatch], prepare: Prepare) -> Iterator[p
 def _across(blobs: DataFrame, rest: DataFrame, prepare: Prepare) -> DataFrame:
     """Links between different parts of a bucket, from saved rows (key, rep, part).  Members
     outside the bucket's largest part are its queries, all members its targets; blocks of
-    queries meet blocks of targets, about BLOCK bytes of each, so a large linked group costs
-    rows in proportion to its size."""
+    queries meet blocks of targets, of about BLOCK bytes and MEMBERS members at most, so a large
+    linked group costs rows in proportion to its size."""
     sized = save(rest.join(blobs.select(F.col("id").alias("rep"), F.length("blob").alias("size")).groupBy("rep").agg(F.sum("size").alias("size")), "rep"), "sized")
-    parts = sized.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("key")
-    parts = parts.agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.sum("size").alias("all"), (F.sum("size") - F.max_by("size", F.struct("n", "part"))).alias("minor"))
+    share = F.count("*") / MEMBERS, F.sum("size") / BLOCK  # of a block, by number and by bytes
+    parts = sized.groupBy("key", "part").agg(share[0].alias("by_n"), share[1].alias("by_size")).groupBy("key")
+    major = lambda c: F.max_by(c, F.struct("by_n", "part"))
+    parts = parts.agg(major("part").alias("major"), *[f(c) for c in ("by_n", "by_size") for f in (lambda c: F.sum(c).alias(f"all_{c}"), lambda c: (F.sum(c) - major(c)).alias(f"minor_{c}"))])
     parts = save(parts, "shares")
     rows = sized.join(parts, "key")
-    blocks = lambda n: F.ceil((F.col(n) + 1) / BLOCK).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.greatest(f"{n}_by_n", f"{n}_by_size"))).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     queries = rows.where("part <> major").select("key", mine("minor").alias("q"), each("all").alias("t"), F.lit(True).alias("query"), "rep", "part")
