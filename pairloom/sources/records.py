@@ -103,19 +103,9 @@ def network_text(net: Network, fixed: bool = False) -> str:
     )
 
 
-def network_of(text: str) -> Network:
-    """A layered or shortcut network from such text, float or fixed-point; unknown entries are
-    ignored."""
-    entries = dict(line.split("=", 1) for line in text.splitlines() if "=" in line)
-    version = text.split("\n", 1)[0].strip()
-    if not re.match(r"FANN_(FLO|FIX)_", version):
-        raise ValueError(f"not a network file: {version[:40]}")
-    scale = 1 << int(entries["decimal_point"]) if "FIX" in version else 1
-    sizes = list(map(int, entries["layer_sizes"].split()))
-    part = lambda head: re.findall(r"\(([^)]*)\)", next(v for k, v in entries.items() if k.startswith(head)))
-    neurons = [(int(a), int(b), float(c) / scale) for a, b, c in (x.split(",") for x in part("neurons"))]
-    links = [(int(a), float(b) / scale) for a, b in (x.split(",") for x in part("connections"))]
-    shortcut = entries.get("network_type", "0").strip() == "1"
+def _built(sizes: list[int], neurons: list[tuple[int, int, float]], links: list[tuple[int, float]], shortcut: bool) -> Network:
+    """A network from layer sizes with biases, (inputs, activation, steepness) of each neuron
+    and (neuron, weight) of each connection."""
     layers, at, link, first = [], sizes[0], 0, 0
     for k in range(1, len(sizes)):
         n = sizes[k] - (not shortcut)
@@ -132,6 +122,37 @@ def network_of(text: str) -> Network:
     return Network(tuple(layers), shortcut)
 
 
+def _legacy(text: str, fixed: bool) -> Network:
+    """The older form: numbers in a row, one activation for the hidden layers and one for the
+    output."""
+    head, *rest = text.split("\n", 1)[1].split("(")
+    numbers = head.split()
+    scale = 1 << int(numbers.pop(0)) if fixed else 1
+    layers, kind, hidden, last = (int(numbers[i]) for i in (0, 3, 4, 5))
+    steep = [float(x) / scale for x in numbers[6:8]]
+    sizes, counts = list(map(int, numbers[8 : 8 + layers])), list(map(int, numbers[8 + layers :]))
+    output = sum(sizes[:-1])
+    neurons = [(n, last, steep[1]) if i >= output else (n, hidden, steep[0]) for i, n in enumerate(counts)]
+    links = [(int(a), float(w) / scale) for a, w in (x.split(")", 1)[0].split() for x in rest)]
+    return _built(sizes, neurons, links, kind == 1)
+
+
+def network_of(text: str) -> Network:
+    """A layered or shortcut network from such text, float or fixed-point, or from text of the
+    older form; unknown entries are ignored."""
+    version = text.split("\n", 1)[0].strip()
+    if not re.match(r"FANN_(FLO|FIX)_", version):
+        raise ValueError(f"not a network file: {version[:40]}")
+    if version.endswith("_1.1"):
+        return _legacy(text, "FIX" in version)
+    entries = dict(line.split("=", 1) for line in text.splitlines() if "=" in line)
+    scale = 1 << int(entries["decimal_point"]) if "FIX" in version else 1
+    part = lambda head: re.findall(r"\(([^)]*)\)", next(v for k, v in entries.items() if k.startswith(head)))
+    neurons = [(int(a), int(b), float(c) / scale) for a, b, c in (x.split(",") for x in part("neurons"))]
+    links = [(int(a), float(b) / scale) for a, b in (x.split(",") for x in part("connections"))]
+    return _built(list(map(int, entries["layer_sizes"].split())), neurons, links, entries.get("network_type", "0").strip() == "1")
+
+
 def load_network(spark: SparkSession, path: str) -> Network:
     """A network file from any store that Spark reads."""
     return network_of(spark.read.text(path, wholetext=True).first()[0])

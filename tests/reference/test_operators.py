@@ -237,6 +237,12 @@ def test_network_and_training_files(spark, tmp_path):
     assert sorted(map(tuple, records.training_set(spark, path).collect())) == sorted(map(tuple, data.collect()))
     with pytest.raises(ValueError):
         records.network_of("other\n")
+    old = "FANN_FLO_1.1\n3 0.7 1.0 0 5 0 0.25 1.0\n3 3 2 \n0 0 0 3 3 0 3 0 \n(0 0.5) (1 -1.5) (2 2.0) (0 0.1) (1 0.2) (2 0.3) (3 1.0) (4 -1.0) (5 0.25) "
+    net = records.network_of(old)
+    assert net.sizes == [2, 2, 1] and [(x.activation, x.steepness) for x in net.layers] == [("sigmoid_symmetric", 0.25), ("linear", 1.0)]
+    assert net.layers[0].weights.tolist() == [[0.5, -1.5, 2.0], [0.1, 0.2, 0.3]] and net.layers[1].weights.tolist() == [[1.0, -1.0, 0.25]]
+    fixed = "FANN_FIX_1.1\n4\n2 0.7 1.0 0 0 0 16 16\n2 2 \n0 0 2 0 \n(0 8) (1 -4) "
+    assert records.network_of(fixed).layers[0].weights.tolist() == [[0.5, -0.25]]
 
 
 def test_records(spark, tmp_path):
