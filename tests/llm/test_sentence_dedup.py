@@ -1,6 +1,9 @@
+import random
 import re
 
-from pairloom.llm.sentence_dedup import repeated_sentences
+import numpy as np
+
+from pairloom.llm.sentence_dedup import repeated_sentences, run_hashes
 
 
 def cut(text):
@@ -48,3 +51,45 @@ def test_long_passages_of_few_sentences_go(spark):
     got = {r.doc_id: r.kept_text for r in repeated_sentences(docs, min_words=50).collect()}
     want = dict(enumerate(texts)) | {1: "C c. D d.", 3: "G g. H h.", 5: f"{w('v', 61)} {w('s', 70).split()[-1]}. I i.", 9: "P Q q."}
     assert got == want
+
+
+def test_planted_passages_of_50_to_80_words_go(spark):
+    """Cut anywhere out of a text of sentences of 3 to 40 words, between others: what is left of
+    them is at most what lies in sentences that are cut at both ends of the passage."""
+    r = random.Random(12)
+
+    def prose(n, tag):
+        words = [f"{tag}{r.randrange(10**6)}" for _ in range(n)]
+        at = 0
+        while at < n:
+            at += r.randrange(3, 40)
+            words[min(at, n) - 1] += "."
+        return words
+
+    rows, planted = [], []
+    for i in range(60):
+        passage = prose(r.randrange(50, 81), "p")
+        passage[-1] = passage[-1].rstrip(".") + "."
+        planted.append(passage)
+        for side in range(2):
+            before, after = prose(40, "b"), prose(40, "a")
+            before[-1] = before[-1].rstrip(".") + "."
+            rows.append((2 * i + side, " ".join([*before, *passage, *after])))
+    got = {x.doc_id: x for x in repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string"), min_words=50).collect()}
+    left = [sum(w in set(got[2 * i + 1].kept_text.split()) for w in p) / len(p) for i, p in enumerate(planted)]
+    assert sum(x < 0.1 for x in left) >= 0.95 * len(left)
+    assert all(got[2 * i].n_removed == 0 for i in range(60))
+
+
+def test_very_long_unpunctuated_text(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[50_000:50_060], "y"])), (3, " ".join(["z", *words[70_000:70_049], "q"]))]
+    got = {x.doc_id: x.kept_text for x in repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string"), min_words=50).collect()}
+    assert got == {1: rows[0][1], 2: "x y", 3: rows[2][1]}
+
+
+def test_run_hashes_tell_runs_apart():
+    parts = ["a", "b", "a", "b", "c"]
+    run = np.array([(s << 32) | n for s, n in ((0, 2), (2, 2), (1, 2), (0, 1), (2, 1), (0, 5))], np.int64)
+    h = [tuple(x) for x in run_hashes(parts, run).tolist()]
+    assert h[0] == h[1] and h[3] == h[4] and len(set(h)) == 4
