@@ -272,7 +272,7 @@ class Updater:
         return w + self.moved
 
 
-def _matrix(batch: pa.RecordBatch, i: int) -> np.ndarray:
+def matrix(batch: pa.RecordBatch, i: int) -> np.ndarray:
     column = batch.column(i)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -281,7 +281,7 @@ def _partial(batches: Iterator[pa.RecordBatch], net: Network, t: Training) -> It
     total, squared, bits, rows = np.zeros(len(net.flat())), 0.0, 0, 0
     for batch in batches:
         if batch.num_rows:
-            g, s, b = gradient(net, _matrix(batch, 0), _matrix(batch, 1), t)
+            g, s, b = gradient(net, matrix(batch, 0), matrix(batch, 1), t)
             total, squared, bits, rows = total + g, squared + s, bits + b, rows + batch.num_rows
     if rows:
         values = np.concatenate([total, [squared, bits, rows]])

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.operators import cascade as K
 from pairloom.operators import network as N
 from pairloom.operators import stats
 from pairloom.operators.align import Scoring, align_all, aligner, best_ends
@@ -307,3 +308,32 @@ def test_initial_weights_and_scaling(spark):
     assert all(np.allclose([r.b[0], r.b[2]], [r.i, r.i * r.i / 2]) for r in back)
     with pytest.raises(ValueError):
         N.train(N.create([1, 1], seed=0), spark.range(3).select(F.array(F.col("id").cast("double")).alias("features"), F.array(F.lit(1.0)).alias("target")), N.Training("incremental", epochs=1, sequential_rows=2))
+
+
+def test_cascade_learns_what_no_single_layer_can(spark):
+    """Exclusive or, by neurons that are added; and the slopes of candidates by differences."""
+    r = np.random.default_rng(6)
+    x = r.uniform(-1, 1, (120, 2))
+    y = np.where(x[:, :1] * x[:, 1:] > 0, 1.0, -1.0)
+    data = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "features array<double>, target array<double>").coalesce(1)
+    c = K.Cascade(neurons=2, output_epochs=25, candidate_epochs=25, functions=("gaussian_symmetric", "sigmoid_symmetric"), steepnesses=(0.5, 1.0), groups=1, seed=3)
+    net = K.grow(2, 1, data, c)
+    assert net.shortcut and net.sizes == [2, 1, 1, 1] and len(c.history) == 3 and c.history[-1] < 0.75 * c.history[0]
+    assert records.network_of(records.network_text(net)).dump() == net.dump()
+    before = net.run(x)[-1][2]
+    same = K.installed(net, N.Layer(r.normal(size=(1, 5))), np.zeros(1)).run(x)[-1][2]
+    assert np.allclose(before, same)
+
+    a, e = K.residuals(net, x, y)
+    of = K.Candidates(r.normal(size=(2, a.shape[1])), r.normal(size=(2, 1)), [("sigmoid", 0.5), ("elliot_symmetric", 0.75)])
+    sums = of.sums(a, e)
+    for i in range(2):
+        for j in range(a.shape[1]):
+            step = np.zeros_like(of.inputs)
+            step[i, j] = 1e-6
+            up, down = (K.Candidates(of.inputs + d, of.outputs, of.kinds).sums(a, e)[-2 + i] for d in (step, -step))
+            assert abs(-(up - down) / 4e-6 - sums[i * a.shape[1] + j]) < 1e-3 * max(1, abs(sums[i * a.shape[1] + j]))
+        step = np.zeros_like(of.outputs)
+        step[i] = 1e-6
+        up, down = (K.Candidates(of.inputs, of.outputs + d, of.kinds).sums(a, e)[-2 + i] for d in (step, -step))
+        assert abs(-(up - down) / 4e-6 - sums[2 * a.shape[1] + i]) < 1e-3
