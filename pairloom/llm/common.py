@@ -6,6 +6,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,10 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32_000_000
 
 
+#: The folders made in the innermost scratch().
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -41,6 +48,8 @@ def folder(spark: SparkSession) -> str:
     """A new folder below the shared one; it goes when the application ends."""
     path, files = _path(spark, f"{shared_root(spark)}/pairloom-{uuid.uuid4().hex}")
     files.deleteOnExit(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path.toString())
     return path.toString()
 
 
@@ -68,6 +77,27 @@ def discard(*tables: DataFrame) -> None:
     release(tables[0].sparkSession)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end what was saved inside, but for what the tables read that were put
+    into the list."""
+    made: list[str] = []
+    outer, token = _MADE.get(), _MADE.set(made)
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        _MADE.reset(token)
+    needed = {part for df in kept for f in df.inputFiles() for part in f.split("/")}
+    for name in made:
+        if name.rsplit("/", 1)[1] not in needed:
+            path, files = _path(spark, name)
+            files.delete(path, True)
+        elif outer is not None:
+            outer.append(name)
+    release(spark)
+
+
 def narrow(df: DataFrame, carry: tuple[str, ...] = (), **columns: str) -> DataFrame:
     """The named columns under fixed names, whatever else df has, and those to carry
     along as fields of one struct, carried."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import grouped, slices
-from .common import narrow, save, small
+from .common import narrow, save, scratch, small
 
 EDITS, MIN_CHARS = 2, 20
 #: Lines of a task whose keys aren't given twice; only saves work.
@@ -206,26 +206,28 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = ["carried"] * bool(carry)
     docs = narrow(docs, carry, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text", *more)
     texts, least = docs.select("text"), max(min_chars, edits + 1)
-    lines = save(docs.mapInArrow(_lines, "doc_id long, own long, no int, line long"), "lines")
-
-    index = save(texts.mapInArrow(lambda b: _keys(b, least, edits, True), "key long, rep long").distinct(), "index")
-    keys = save(index.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")), "keys")  # a table, so that the join can split a hot key
-    probe = texts.mapInArrow(lambda b: _keys(b, least, edits, False), "key long, rep long")
-    hits = save(probe.join(keys, "key").where("x <> y or x <> rep").select("key", "rep").distinct(), "hits")
-    met = save(hits.union(index.join(save(hits.select("key").distinct(), "shared"), "key", "left_semi")).distinct(), "met")
-
-    needed = small(save(met.select(F.col("rep").alias("id")).distinct(), "needed"))
-    blobs = texts.mapInArrow(lambda b: _texts(b, least), "id long, blob binary").join(needed, "id", "left_semi")
-    blobs = save(blobs.groupBy("id").agg(F.first("blob").alias("blob")), "blobs")
-    groups = grouped(met, blobs, lambda targets: _near(targets, edits)).select(F.col("id").alias("line"), "component")
-
-    place = F.struct("doc_id", "own", "no")
-    named = lines.join(groups, "line", "left").select("doc_id", "own", "no", F.coalesce("component", "line").alias("part"))
-    firsts = named.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("part", "first")
-    gone = named.join(save(firsts, "firsts"), "part").where(~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("of"), F.col("own").alias("of_own")).agg(F.collect_set("no").alias("gone"))
-    gone = small(save(gone, "gone"))
-    found = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "gone", *more)
+    with scratch(docs.sparkSession) as kept:
+        lines = save(docs.mapInArrow(_lines, "doc_id long, own long, no int, line long"), "lines")
+
+        index = save(texts.mapInArrow(lambda b: _keys(b, least, edits, True), "key long, rep long").distinct(), "index")
+        keys = save(index.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")), "keys")  # a table, so that the join can split a hot key
+        probe = texts.mapInArrow(lambda b: _keys(b, least, edits, False), "key long, rep long")
+        hits = save(probe.join(keys, "key").where("x <> y or x <> rep").select("key", "rep").distinct(), "hits")
+        met = save(hits.union(index.join(save(hits.select("key").distinct(), "shared"), "key", "left_semi")).distinct(), "met")
+
+        needed = small(save(met.select(F.col("rep").alias("id")).distinct(), "needed"))
+        blobs = texts.mapInArrow(lambda b: _texts(b, least), "id long, blob binary").join(needed, "id", "left_semi")
+        blobs = save(blobs.groupBy("id").agg(F.first("blob").alias("blob")), "blobs")
+        groups = grouped(met, blobs, lambda targets: _near(targets, edits)).select(F.col("id").alias("line"), "component")
+
+        place = F.struct("doc_id", "own", "no")
+        named = lines.join(groups, "line", "left").select("doc_id", "own", "no", F.coalesce("component", "line").alias("part"))
+        firsts = named.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("part", "first")
+        gone = named.join(save(firsts, "firsts"), "part").where(~place.eqNullSafe(F.col("first")))
+        gone = gone.groupBy(F.col("doc_id").alias("of"), F.col("own").alias("of_own")).agg(F.collect_set("no").alias("gone"))
+        gone = save(gone, "gone")
+        kept.append(gone)
+    found = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_own")), "left").select("doc_id", "text", "gone", *more)
     schema = "doc_id long, n_lines long, n_removed long, n_repeated long, mostly_repeated boolean, kept_text string"
     if carry:
         schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
