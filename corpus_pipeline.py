@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, documents, folder, save, small
+from pairloom.llm.common import discard, documents, folder, save, scratch, small
 from pairloom.llm.decontaminate import contained_items
 from pairloom.llm.line_dedup import deduplicated
 from pairloom.llm.minmax_dedup import near_groups
@@ -54,13 +54,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeat among them go whatever their share, as line_dedup leaves texts of mostly
     repeated lines whole."""
     docs = docs.select(*COLUMNS)
-    gone = save(near_groups(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias(_NOT)).distinct(), "gone")
-    left = docs.join(small(gone), F.col("doc_id") == F.col(_NOT), "left_anti")
-    again = save(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(_NOT)), "again")
-    if not again.isEmpty():
-        single = left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_anti")
-        left = single.union(left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_semi").dropDuplicates(["doc_id", "text"]))
-    return _without_lines(save(left, "left"), 1)
+    with scratch(spark) as kept:
+        gone = save(near_groups(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias(_NOT)).distinct(), "gone")
+        left = docs.join(small(gone), F.col("doc_id") == F.col(_NOT), "left_anti")
+        again = save(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(_NOT)), "again")
+        if not again.isEmpty():
+            single = left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_anti")
+            left = single.union(left.join(small(again), F.col("doc_id") == F.col(_NOT), "left_semi").dropDuplicates(["doc_id", "text"]))
+        left = save(left, "left")
+        kept.append(left)
+    return _without_lines(left, 1)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
