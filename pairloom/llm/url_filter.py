@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, save, small
+from .common import narrow, save
 
 ORDER, ALPHABET = 4, 256
 #: The calibration counts scores in bins of 1 / STEPS, clipped at +-WIDEST.
@@ -127,8 +127,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     total = grams.agg(F.sum("uses")).first()[0] or 0
     is_hot = F.col("uses") >= HOT_SHARE * total
     values = ["llr_all", "llr_0", "llr_1"]
+    # hot grams are 1 / HOT_SHARE at most; the rest and the scores grow with the input
     hot = ratios.where(is_hot).select("gram", F.struct(*values).alias("hot"))
-    cold = small(save(ratios.where(~is_hot).select("gram", *values), "cold"))
+    cold = ratios.where(~is_hot).select("gram", *values)
     ready = spelled.select("name", "half", "gram").join(F.broadcast(hot), "gram", "left")
     value = ready.where("hot is not null").select("name", "half", "hot.*")
     value = value.unionByName(ready.where("hot is null").join(cold, "gram").select("name", "half", *values))
@@ -138,5 +139,5 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     counts = names.where("ruled is not null").join(scores, "name").groupBy(bins.alias("at"), "ruled").agg(F.sum("n").alias("n"))
     threshold = threshold_of([(r["at"], r.ruled, r.n) for r in counts.collect()])  # 2 * WIDEST * STEPS bins a class at most
     method = F.when(F.col("score") < threshold, "block").otherwise("allow") if threshold is not None else F.lit("allow")
-    out = keyed.join(small(scores.select("name", "score")), "name", "left")
+    out = keyed.join(scores.select("name", "score"), "name", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.round("score", 9).alias("score"))
