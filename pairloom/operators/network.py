@@ -1,4 +1,4 @@
-"""Feed-forward networks: inference as columns, training by distributed gradients.
+"""Feed-forward networks: inference in Arrow batches, training by distributed gradients.
 
 A model is a few thousand weights and lives on the driver; rows stay distributed.  Each
 epoch is one pass that returns a gradient of the model's size.
@@ -11,15 +11,18 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import STEPWISE, STEPWISE_SYMMETRIC, activations
+from ..functions.scores import STEPWISE, STEPWISE_SYMMETRIC
 
 #: Activations in the order of their codes in network files.
 NAMES = ("linear", "threshold", "threshold_symmetric", "sigmoid", "sigmoid_stepwise", "sigmoid_symmetric", "sigmoid_symmetric_stepwise", "gaussian", "gaussian_symmetric", "gaussian_stepwise", "elliot", "elliot_symmetric", "linear_piece", "linear_piece_symmetric", "sin_symmetric", "cos_symmetric", "sin", "cos")
 SYMMETRIC = ("linear_piece_symmetric", "threshold_symmetric", "sigmoid_symmetric", "sigmoid_symmetric_stepwise", "elliot_symmetric", "gaussian_symmetric", "sin_symmetric", "cos_symmetric")
 _SUM, _WEIGHT = 150.0, 1500.0
+#: Examples that go through the layers at once, so that their sums stay in the cache.
+_ROWS = 1024
 
 
 def activate(name: str, x: np.ndarray) -> np.ndarray:
@@ -138,18 +141,44 @@ class Network:
             seen = np.concatenate([seen, y], axis=1) if self.shortcut else y
         return out
 
-    def forward(self, features: Column) -> Column:
-        """The outputs as an array column, in the JVM.  The weights are literals, so the
-        plan has a few thousand numbers at most."""
-        seen = F.transform(features, lambda v: v.cast("double"))
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        """The last layer's outputs, a row a unit, from x, a column an example.  Terms are added
+        in the order of the weights, the bias last; a sum that isn't a number is the limit."""
+        seen = x
         for layer in self.layers:
-            rows = F.array(*[F.array(*map(F.lit, row)) for row in layer.weights.tolist()])
-            inputs, limit = F.array_append(seen, F.lit(1.0)), _SUM / layer.steepness
-            total = lambda w: F.aggregate(F.zip_with(inputs, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)  # noqa: B023, E731
-            clamped = lambda w: F.greatest(F.lit(-limit), F.least(F.lit(limit), total(w) * layer.steepness))  # noqa: B023, E731
-            y = F.transform(rows, lambda w: activations(clamped(w))[layer.activation])  # noqa: B023
-            seen = F.concat(seen, y) if self.shortcut else y
-        return F.slice(seen, -self.layers[-1].weights.shape[0], self.layers[-1].weights.shape[0]) if self.shortcut else seen
+            w, limit = layer.weights, _SUM / layer.steepness
+            total = np.zeros((len(w), x.shape[1]))
+            for j, values in enumerate(seen):
+                total += w[:, j : j + 1] * values
+            sums = (total + w[:, -1:]) * layer.steepness
+            sums = np.where(np.isnan(sums), limit, np.clip(sums, -limit, limit))
+            y = 2 * activate("sigmoid", sums) - 1 if layer.activation == "sigmoid_symmetric" else activate(layer.activation, sums)
+            seen = np.concatenate([seen, y]) if self.shortcut else y
+        return seen[len(seen) - len(self.layers[-1].weights) :]
+
+    def _batch(self, features: pa.Array) -> pa.Array:
+        width, last = self.sizes[0], len(self.layers[-1].weights)
+        fits = pc.fill_null(pc.equal(pc.list_value_length(features), width), False)
+        x = pc.fill_null(features.filter(fits).flatten(), np.nan).to_numpy(zero_copy_only=False).reshape(-1, width)
+        # rows of another width, without values or with values that aren't numbers have one output
+        known = ~np.isnan(x).any(axis=1)
+        at = np.full(len(features), known.sum())
+        at[np.flatnonzero(fits.to_numpy(zero_copy_only=False))[known]] = np.arange(known.sum())
+        x = np.concatenate([x[known], np.full((1, width), np.nan)]).T
+        with np.errstate(all="ignore"):
+            y = np.concatenate([self.outputs(np.ascontiguousarray(x[:, i : i + _ROWS])) for i in range(0, x.shape[1], _ROWS)], axis=1)
+        none = pc.is_null(features) if self.shortcut else pa.array(np.zeros(len(features), bool))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(features) + 1) * last, pa.int32()), pa.array(y.T[at].ravel()), mask=none)
+
+    def forward(self, features: Column) -> Column:
+        """The outputs as an array column, in Arrow batches: a row is a few array operations'
+        share, however often an expression names the result."""
+
+        @F.arrow_udf("array<double>")
+        def of(rows: pa.Array) -> pa.Array:
+            return self._batch(rows)
+
+        return of(features.cast("array<double>"))
 
 
 def create(sizes: list[int], seed: int = 0, activation: str = "sigmoid_symmetric", steepness: float = 0.5, rate: float = 1.0, shortcut: bool = False, low: float = -0.1, high: float = 0.1) -> Network:

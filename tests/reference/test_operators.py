@@ -213,6 +213,27 @@ def test_forward_and_gradient(spark, net):
         assert abs(-(up - down) / 2e-5 / 2 / half - g[k]) < 1e-4
 
 
+def test_forward_of_odd_rows(spark):
+    """A sum that isn't a number counts as the limit, whatever makes it so; the result is
+    computed once, in Arrow batches, however often an expression names it."""
+    net = N.create([2, 3, 1], seed=4, low=-2, high=2)
+    rows = [None, [], [1.0], [1.0, None], [1.0, float("nan")], [1.0, 2.0, 3.0], [1.0, 2.0], [1e9, -1e9]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, features array<double>").coalesce(1)
+    y = net.forward(F.col("features"))
+    used = df.select("i", y.alias("y"), (F.get(y, F.lit(0)) + F.get(y, F.lit(0))).alias("twice"))
+    got = {r.i: r for r in used.collect()}
+    odd = np.tanh(0.5 * net.layers[1].weights.sum())
+    assert all(got[i].y == pytest.approx([odd], abs=1e-12) for i in range(6))
+    want = net.run(np.array([[1.0, 2.0], [1e9, -1e9]]))[-1][2]
+    assert [got[6].y, got[7].y] == [pytest.approx(list(v), abs=1e-12) for v in want]
+    assert all(r.twice == 2 * r.y[0] for r in got.values())
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+    short = N.create([2, 2, 1], seed=3, shortcut=True)
+    assert [r[0] is None for r in df.select("i", short.forward(F.col("features")).alias("y")).orderBy("i").select("y").collect()] == [True] + [False] * 7
+    assert df.limit(0).select(y).collect() == []
+
+
 @pytest.mark.parametrize("algorithm, epochs, rate", [("rprop", 15, 0.7), ("quickprop", 15, 0.7), ("batch", 15, 10.0), ("incremental", 5, 0.7)])
 def test_training_learns(spark, algorithm, epochs, rate):
     r = np.random.default_rng(3)
