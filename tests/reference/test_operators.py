@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import cascade as K
 from pairloom.operators import network as N
-from pairloom.operators import stats
+from pairloom.operators import align, stats
 from pairloom.operators.align import Scoring, align_all, aligner, best_ends
 from pairloom.operators.archive import buffered, keep_at_least, merged_rows, proper_pairs, rows_between, shuffled, sort_by_name, with_group
 from pairloom.operators.select import best_pairs
@@ -99,6 +99,24 @@ def test_windows_round_seeds_give_the_same_ends():
     assert [x[:3] for x in align_all(queries, refs, s, 0, None, 32_767)] == [x[:3] for x in whole]
 
 
+def test_alignment_works_in_the_letters_a_score_can_span(monkeypatch):
+    """Whole references are swept once, for the scores; rows, begins and edit strings come from
+    parts.  The results are the textbook's, in long references and for scores above 16 bits."""
+    r = random.Random(12)
+    q = "".join(r.choices("acgt", k=60))
+    text = "".join(r.choices("acgt", k=3000)) + q[:30] + "g" + q[30:] + "".join(r.choices("acgt", k=3000))
+    swept = []
+    kernel = align._diagonals
+    monkeypatch.setattr(align, "_diagonals", lambda pairs, s: swept.extend(len(x[1]) for x in pairs) or kernel(pairs, s))
+    for s in (Scoring(bases=False), Scoring(), Scoring(900, 900, 1350, 450, bases=False)):
+        swept.clear()
+        (got,) = align_all([q], [text], s, None, 1, 32_767)
+        best, row = column_scores(q, text, s.match, s.mismatch, s.gap_open, s.gap_extend)
+        end = int(np.argmax(best))
+        assert got[:3] == (best[end], end, row[end]) and got[5:] == (3000, 0, "30=1D30=", 1)
+        assert sum(m > 1000 for m in swept) == 1
+
+
 def test_translation_and_one_reference(spark):
     """Letters w and s as A and C, everything against one reference."""
     s = Scoring(translation=(("w", 0), ("s", 1)))
