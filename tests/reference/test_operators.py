@@ -117,6 +117,11 @@ def test_alignment_works_in_the_letters_a_score_can_span(monkeypatch):
         assert sum(m > 1000 for m in swept) == 1
 
 
+def test_equal_letters_need_no_matrices(monkeypatch):
+    monkeypatch.setattr(align, "_fill", None)
+    assert align_all(["abcdé" * 9], ["zz" + "abcdé" * 9 + "y"], Scoring(bases=False), None, 1, 32_767) == [(90, 46, 44, 0, -1, 2, 0, "45=", 0)]
+
+
 def test_translation_and_one_reference(spark):
     """Letters w and s as A and C, everything against one reference."""
     s = Scoring(translation=(("w", 0), ("s", 1)))
