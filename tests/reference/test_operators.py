@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import cascade as K
 from pairloom.operators import network as N
-from pairloom.operators import align, stats
+from pairloom.operators import align, seed, stats
 from pairloom.operators.align import Scoring, align_all, aligner, best_ends
 from pairloom.operators.archive import buffered, keep_at_least, merged_rows, proper_pairs, rows_between, shuffled, sort_by_name, with_group
 from pairloom.operators.select import best_pairs
@@ -236,6 +236,29 @@ def test_forward_and_gradient(spark, net):
         assert abs(-(up - down) / 2e-5 / 2 / half - g[k]) < 1e-4
 
 
+def test_seeds_are_grams_of_code_points(spark):
+    """A letter beyond 16 bits is one letter; only wanted grams leave a text, whatever its length."""
+    text = "abc\U0001f600defghijklmnopqrs"
+    whole = {text[i : i + 15] for i in range(len(text) - 14)}
+    long = "x" * (seed._STEP - 7) + text + "y" * 20
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "abc"), (5, long), (6, text * 2)], "i int, text string").coalesce(1)
+    got = {r.i: r.g for r in df.select("i", seed.grams(F.col("text"), 15).alias("g")).collect()}
+    assert set(got[1]) == whole and len(got[1]) == len(whole) and got[2] is None and got[3] == got[4] == []
+    picked = {r.i: r.g for r in df.select("i", seed.grams(F.col("text"), 15, sorted(whole)).alias("g")).collect()}
+    assert set(picked[1]) == set(picked[5]) == set(picked[6]) == whole and len(picked[6]) == len(whole)
+    assert all(r.g is None or r.g == [] for r in df.select(seed.grams(F.col("text"), 15, []).alias("g")).collect())
+    found = seed.candidates(df.where("i = 1"), df.withColumnRenamed("i", "j"), "i", "j").collect()
+    assert sorted(map(tuple, found)) == [(1, j, len(whole), len(whole)) for j in (1, 5, 6)]
+
+
+def test_seeds_of_many_reads_are_joined_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "".join(random.Random(i).choices("acgt", k=60))) for i in range(20)], "i int, text string")
+    other = df.select(F.col("i").alias("j"), F.concat(F.lit("tt"), "text").alias("text"))
+    few = sorted(map(tuple, seed.candidates(df, other, "i", "j").collect()))
+    monkeypatch.setattr(seed, "BROADCAST_ROWS", 10)
+    assert few == sorted(map(tuple, seed.candidates(df, other, "i", "j").collect())) == [(i, i, 46, 46) for i in range(20)]
+
+
 def test_forward_of_odd_rows(spark):
     """A sum that isn't a number counts as the limit, whatever makes it so; the result is
     computed once, in Arrow batches, however often an expression names it."""
