@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import cascade as K
 from pairloom.operators import network as N
-from pairloom.operators import align, seed, stats
+from pairloom.operators import align, entropy, seed, stats
 from pairloom.operators.align import Scoring, align_all, aligner, best_ends
 from pairloom.operators.archive import buffered, keep_at_least, merged_rows, proper_pairs, rows_between, shuffled, sort_by_name, with_group
 from pairloom.operators.select import best_pairs
@@ -259,6 +259,16 @@ def test_seeds_of_many_reads_are_joined_whole(spark, monkeypatch):
     assert few == sorted(map(tuple, seed.candidates(df, other, "i", "j").collect())) == [(i, i, 46, 46) for i in range(20)]
 
 
+def test_byte_counts_stay_in_arrow(spark):
+    """Bytes are counted as they are: no array of letters a text is sorted."""
+    rows = [(1, None), (2, ""), (3, "aaaa"), (4, "ab\u00e9" * 40_000), (5, "\x00\n\x00\n")]
+    out = entropy.byte_entropy(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1))
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: (0.0, 0, 0.0, None), 2: (0.0, 0, 0.0, None), 3: (0.0, 1, 0.0, None), 4: (2.0, 4, 2.0, 1.0), 5: (1.0, 2, 1.0, 1.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "array_sort" not in plan and "split(" not in plan
+
+
 def test_forward_of_odd_rows(spark):
     """A sum that isn't a number counts as the limit, whatever makes it so; the result is
     computed once, in Arrow batches, however often an expression names it."""
