@@ -534,7 +534,8 @@ def gapped_from_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    found = broadcast_if_small(seeding.candidates(items, docs, "item_id", "doc_id").select("item_id", "doc_id"))
+    # kept, as the check of its size and the join would seed all texts twice
+    found = broadcast_if_small(seeding.candidates(items, docs, "item_id", "doc_id").select("item_id", "doc_id").persist())
     pairs = docs.select("doc_id", F.col("text").alias("ref")).join(found, "doc_id")
     pairs = pairs.join(broadcast_if_small(items.select("item_id", F.col("text").alias("query"))), "item_id")
     # few rows of much work: a number of partitions, or adaptive planning puts them into one

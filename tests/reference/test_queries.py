@@ -98,6 +98,14 @@ def test_alignment_queries_against_rows(spark):
         assert (score, at - 1, spot - 1) == (r.score, r.query_end, r.ref_end)
 
 
+def test_alignment_queries_seed_once(spark):
+    """The plan that aligns reads the pairs that were found, and doesn't seed again."""
+    spark.catalog.clearCache()
+    plan = QUERIES["sw_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
+    spark.catalog.clearCache()
+
+
 def test_training_query_against_loops(spark):
     """Twelve epochs, example by example and weight by weight."""
     rows = [(np.array(r.embedding[:11], float), 1.0 if r.label % 2 == 0 else -1.0) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
