@@ -93,3 +93,44 @@ def test_run_hashes_tell_runs_apart():
     run = np.array([(s << 32) | n for s, n in ((0, 2), (2, 2), (1, 2), (0, 1), (2, 1), (0, 5))], np.int64)
     h = [tuple(x) for x in run_hashes(parts, run).tolist()]
     assert h[0] == h[1] and h[3] == h[4] and len(set(h)) == 4
+
+
+def test_passages_that_begin_and_end_within_sentences_go(spark):
+    """52 words over three sentences of which only one is whole, of 20 words."""
+    w = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = f"{w('p', 16)}. {w('q', 20)}. {w('r', 16)}"
+    texts = [f"{w('a', 15)} {passage} {w('b', 15)}.", f"{w('c', 9)} {passage} {w('d', 30)}.", f"{w('e', 20)}.\n{passage.replace('. ', '.\n')}. F."]
+    got = {r.doc_id: r for r in repeated_sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=50).collect()}
+    assert {d: r.kept_text for d, r in got.items()} == {0: texts[0], 1: f"{w('c', 9)} {w('d', 30)}.", 2: f"{w('e', 20)}. r15. F."}
+    assert [got[d].n_removed for d in range(3)] == [0, 16 + 1 + 16, 1 + 1 + 15]
+    assert got[1].n_sentences == 9 + 16 + 1 + 16 + 30 and list(got[2].removed) == [1, 2, *range(3, 18)]
+
+
+def test_windows_against_brute_force(spark):
+    """Words under a later window of 20 words or a later run of three sentences, and no others."""
+    r = random.Random(5)
+    word = lambda: r.choice("abcdefghij") * r.randrange(1, 3) + r.choice(["", "", "", "", ".", "\n", "! "])
+    pool = [[word() for _ in range(r.randrange(10, 120))] for _ in range(30)]
+    rows = []
+    for d in range(250):
+        words = [word() for _ in range(r.randrange(40))]
+        for p in r.sample(pool, 3):
+            a = r.randrange(len(p))
+            words += p[a : a + r.randrange(60)] + [word() for _ in range(r.randrange(25))]
+        rows.append((d, " ".join(words)))
+    rows += [(900, "a " * 90), (901, "x. " * 30), (902, "a b " * 30)]
+    first, at = {}, []
+    for d, text in rows:
+        sizes = [len(s.split()) for s in cut(text)]
+        words, edge = text.split(), np.concatenate(([0], np.cumsum(sizes)))
+        runs = [(i, i + 20) for i in range(len(words) - 19)]
+        keys = [(tuple(words[a:b]),) for a, b in runs]
+        for i in range(max(len(sizes) - 3, 0) + 1 if sizes else 0):
+            runs.append((int(edge[i]), int(edge[min(i + 3, len(sizes))])))
+            keys.append(tuple(cut(text)[i : i + 3]) + (None,))
+        for run, key in zip(runs, keys):
+            first[key] = min(first.get(key, (d, run)), (d, run))
+        at.append((d, words, list(zip(runs, keys))))
+    want = {d: " ".join(w for i, w in enumerate(words) if not any(a <= i < b for (a, b), k in found if first[k] != (d, (a, b)))) for d, words, found in at}
+    got = {x.doc_id: " ".join(x.kept_text.split()) for x in repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), min_words=20).collect()}
+    assert got == want and 20 < sum(want[d] != " ".join(t.split()) for d, t in rows) < 253
